@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_filter
-from ._tables import table
+from . import url_filter, warc
+from ._tables import shared_dir, table, written
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = f"{shared_dir(spark)}/tarnflow/warc-{uuid.uuid4().hex}"
+    files = written(warc.write_archives(pages, folder), "warc-files")
+    return warc.read_archives(files, folder).select(
+        F.col("id").cast("long").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+# Base32 takes 20 bits, five hexadecimal digits, at a time.
+OP8_SQL = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+ d as (select page_id, octet_length(encode(html)) as payload_bytes, (
+   select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4)))::int % 32 + 1, 1), '' order by i) from range(32) r(i)
+ ) as payload_digest from p)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from (select *, min(page_id) over (partition by payload_digest) as first from d)
+"""
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +48,11 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m where n
 """
 
 QUERIES = {
+    "op8_warc": op8_warc,
     "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL = {
+    "op8_warc": OP8_SQL,
     "op10_url_filters": OP10_SQL,
 }
