@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from ._text import Words, byte_grams, grams, mix64
+from ._text import Words, mix64
 
-PART_BYTES = 1 << 20  # texts are handled in parts of about this size, so arrays stay in the CPU's caches and memory stays bounded
+PART_BYTES, PART_TEXTS = 1 << 20, 256  # texts are handled in parts of about this size, which bounds memory
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -17,91 +17,64 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def parts(texts: list[bytes], limit: int = PART_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts of about ``limit`` bytes together, each part with the place of its first."""
-    at, held, size = 0, [], 0
-    for i, t in enumerate(texts):
+def parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Consecutive texts, of about PART_BYTES together and PART_TEXTS at most."""
+    held, size = [], 0
+    for t in texts:
         held.append(t)
         size += len(t)
-        if size >= limit:
-            yield at, held
-            at, held, size = i + 1, [], 0
+        if size >= PART_BYTES or len(held) >= PART_TEXTS:
+            yield held
+            held, size = [], 0
     if held:
-        yield at, held
+        yield held
 
 
-def fold_case(texts: list[bytes]) -> list[bytes]:
-    return [t.decode("utf-8", "replace").lower().encode() for t in texts]
+def character_counts(texts: list[bytes], orders: tuple[int, ...], buckets: int) -> np.ndarray:
+    """How often each bucket's runs of bytes occur in each text; a text counts as standing between blanks.
 
-
-def character_features(texts: list[bytes], orders: tuple[int, ...], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order n: the bucket of each run of n bytes within a text, and where each text's runs begin."""
-    data = b"".join(b" " + t + b" " for t in texts)
-    buf = np.frombuffer(data, dtype=np.uint8)
-    offset = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))
-    out = []
-    for n in orders:
-        if n <= 7:  # a few bytes are a number by themselves
-            code = np.full(max(0, len(buf) - n + 1), n, dtype=np.uint64)
-            for j in range(n):
-                code = (code << np.uint64(8)) | buf[j : j + len(code)]
-            code = mix64(code)
-        else:
-            code = byte_grams(buf, n)
-        bucket = (code % np.uint64(buckets)).astype(np.int32)
-        doc_end = offset[1:] - n + 1
-        inside = np.ones(len(bucket), dtype=bool)
-        for j in range(n - 1):  # runs across the border of two texts
-            cut = offset[1:-1] - 1 - j
-            inside[cut[cut >= 0]] = False
-        kept = np.flatnonzero(inside)
-        out.append((bucket[kept], np.searchsorted(kept, offset[:-1])))
-        del doc_end
-    return out
-
-
-def segment_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Sums of values over the segments that begin at ``begin``; empty segments give 0."""
-    total = np.concatenate((np.zeros((1, *values.shape[1:]), dtype=np.float64), np.cumsum(values, axis=0, dtype=np.float64)))
-    return total[np.append(begin[1:], len(values))] - total[begin]
-
-
-def word_features(texts: list[bytes], buckets: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, pairs of words and runs of bytes within words.
-
-    Returns (vocabulary-wise features as a flat array, where each distinct word's features begin, the distinct word of
-    each word, where each text's words begin).  The byte runs of a word are taken once for each distinct word.
+    The length of a run is part of its hash.  Runs do not cross from one text to the next.
     """
-    w = Words(texts)
-    distinct, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    words = [b"<" + w.data[w.start[i] : w.end[i]] + b">" for i in at]
-    lists = [np.array([distinct[j]], dtype=np.uint64) for j in range(0)]
-    del lists
-    chars = character_runs(words, orders)
-    begin = chars[1] + np.arange(len(words))
-    flat = np.empty(len(chars[0]) + len(words), dtype=np.uint64)
-    mask = np.ones(len(flat), dtype=bool)
-    mask[begin] = False
-    flat[begin] = mix64(distinct + np.uint64(1))
-    flat[mask] = chars[0]
-    return (flat % np.uint64(buckets)).astype(np.int64), begin, which, w.first[:-1]
-
-
-def character_runs(words: list[bytes], orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the byte runs of each word, word after word, and where each word's begin."""
-    buf = np.frombuffer(b"".join(words), dtype=np.uint8)
-    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    offset = np.concatenate(([0], np.cumsum(length)))
-    owner = np.repeat(np.arange(len(words)), length)
-    codes, owners = [], []
+    buf = np.frombuffer(b"".join(b" " + t + b" " for t in texts), dtype=np.uint8)
+    length = np.fromiter((len(t) + 2 for t in texts), dtype=np.int64, count=len(texts))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), length)
+    total = np.zeros(len(texts) * buckets, dtype=np.int64)
     for n in orders:
         code = np.full(max(0, len(buf) - n + 1), n, dtype=np.uint64)
         for j in range(n):
-            code = code * np.uint64(0x100000001B3) + buf[j : j + len(code)]
-        own = owner[: len(code)]
-        inside = np.flatnonzero(np.arange(len(code)) + n <= offset[own + 1])
-        codes.append(mix64(code[inside]))
-        owners.append(own[inside])
-    code, own = np.concatenate(codes), np.concatenate(owners)
-    order = np.argsort(own, kind="stable")
-    return code[order], np.searchsorted(own[order], np.arange(len(words)))
+            code = (code << np.uint64(8)) | buf[j : j + len(code)]
+        bucket = (mix64(code) % np.uint64(buckets)).astype(np.int64)
+        inside = owner[: len(code)] == owner[n - 1 :]
+        total += np.bincount((owner[: len(code)] * buckets + bucket)[inside], minlength=len(total))
+    return total.reshape(len(texts), buckets)
+
+
+class SubwordFeatures:
+    """The words of some texts, and the runs of bytes within each word, as buckets.
+
+    ``bucket[begin[v]:begin[v + 1]]`` are the features of distinct word v: the word itself, then its runs;
+    ``word[first[d]:first[d + 1]]`` are the words of text d.
+    """
+
+    def __init__(self, texts: list[bytes], orders: tuple[int, ...], buckets: int):
+        w = Words(texts)
+        distinct, at, self.word = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.first = w.first
+        words = [b"<" + w.data[w.start[i] : w.end[i]] + b">" for i in at]
+        buf = np.frombuffer(b"".join(words), dtype=np.uint8)
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        end = np.cumsum(length)
+        owner = np.repeat(np.arange(len(words)), length)
+        codes, owners = [mix64(distinct + np.uint64(1))], [np.arange(len(words))]
+        for n in orders:
+            code = np.full(max(0, len(buf) - n + 1), n, dtype=np.uint64)
+            for j in range(n):
+                code = (code << np.uint64(8)) | buf[j : j + len(code)]
+            own = owner[: len(code)]
+            inside = np.flatnonzero(np.arange(len(code)) + n <= end[own]) if len(code) else np.empty(0, dtype=np.int64)
+            codes.append(mix64(code[inside]))
+            owners.append(own[inside])
+        code, own = np.concatenate(codes), np.concatenate(owners)
+        order = np.argsort(own, kind="stable")
+        self.bucket = (code[order] % np.uint64(buckets)).astype(np.int64)
+        self.begin = np.searchsorted(own[order], np.arange(len(words) + 1))

@@ -7,10 +7,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_filter, warc
+from . import language_id, quality, url_filter, warc
 from ._tables import shared_dir, table, written
 
 
+def held_out(modulus: int, rest: int):
+    """Whether the CRC-32 of doc_id, written as text, leaves this rest; false where doc_id is null."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(4, 2))
+    model = language_id.train(docs.where("not held_out"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model, keep_text=False)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~held_out(5, 0)))
+    return quality.score(docs.withColumn("held_out", held_out(5, 0)), model, threshold=0.3)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = f"{shared_dir(spark)}/tarnflow/warc-{uuid.uuid4().hex}"
@@ -48,6 +65,8 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m where n
 """
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op4_quality_classifier": op4_quality_classifier,
     "op8_warc": op8_warc,
     "op10_url_filters": op10_url_filters,
 }
