@@ -53,13 +53,17 @@ class SubwordFeatures:
     """The words of some texts, and the runs of bytes within each word, as buckets.
 
     ``bucket[begin[v]:begin[v + 1]]`` are the features of distinct word v: the word itself, then its runs;
-    ``word[first[d]:first[d + 1]]`` are the words of text d.
+    ``word[first[d]:first[d + 1]]`` are the words of text d; ``repeat`` tells of each word whether it is the same as the
+    word before it in its text (the one pair of words that has a meaning of its own, whatever the word).
     """
 
     def __init__(self, texts: list[bytes], orders: tuple[int, ...], buckets: int):
         w = Words(texts)
         distinct, at, self.word = np.unique(w.hash, return_index=True, return_inverse=True)
         self.first = w.first
+        self.repeat = np.zeros(len(w), dtype=bool)
+        self.repeat[1:] = w.hash[1:] == w.hash[:-1]
+        self.repeat[w.first[:-1][w.first[:-1] < len(w)]] = False
         words = [b"<" + w.data[w.start[i] : w.end[i]] + b">" for i in at]
         buf = np.frombuffer(b"".join(words), dtype=np.uint8)
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))

@@ -1,6 +1,7 @@
 """A quality classifier with supervised subword embeddings.
 
-Words, and the runs of bytes within words, are hashed into buckets, each with a learned vector.  A document is the mean
+Words, and the runs of bytes within words, are hashed into buckets, each with a learned vector; all pairs of a word and
+the same word again share one more.  A document is the mean
 of the vectors of all its words' features; a linear layer and a softmax over the two labels follow.  Vectors and layer
 are trained together, by stochastic gradient descent in numpy.
 
@@ -31,11 +32,12 @@ ORDERS = (3, 4)
 DIMENSIONS = 12
 SAMPLE_PER_LABEL = 1500
 LABELS = 2
+REPEAT = BUCKETS  # the bucket of a word that follows itself
 
 
 @dataclass
 class Model:
-    vectors: np.ndarray  # BUCKETS x DIMENSIONS
+    vectors: np.ndarray  # BUCKETS + 1 x DIMENSIONS
     layer: np.ndarray  # DIMENSIONS x labels
     bias: np.ndarray  # labels
 
@@ -48,7 +50,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: np
     """rows: buckets and counts of each document.  prior: the share of each label among all labelled documents, which
     the balanced sample does not show."""
     draw = np.random.default_rng(seed)
-    vectors = draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    vectors = draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS + 1, DIMENSIONS)).astype(np.float32)
     layer, bias = draw.normal(0, 0.1, (DIMENSIONS, LABELS)).astype(np.float32), np.zeros(LABELS, dtype=np.float32)
     layer -= layer.mean(axis=1, keepdims=True)
     weights = [(c / c.sum()).astype(np.float32) for _, c in rows]
@@ -97,6 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
                     where = np.repeat(features.begin[word] - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n, n) + np.arange(n.sum())
                     bucket, which = np.unique(features.bucket[where], return_inverse=True)
                     counts = np.bincount(which, weights=np.repeat(times, n), minlength=len(bucket))
+                    if again := features.repeat[features.first[d] : features.first[d + 1]].sum():
+                        bucket, counts = np.append(bucket, REPEAT), np.append(counts, again)
                     rows.append(bucket.astype("<i4").tobytes() + counts.astype("<f4").tobytes())
                 piece = batch.slice(at, len(part))
                 at += len(part)
@@ -128,8 +132,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                 f = SubwordFeatures(part, ORDERS, BUCKETS)
                 running = np.concatenate(([0.0], np.cumsum(by_bucket[f.bucket])))
                 word_sum, word_n = running[f.begin[1:]] - running[f.begin[:-1]], np.diff(f.begin)
-                total = np.concatenate(([0.0], np.cumsum(word_sum[f.word])))
-                count = np.concatenate(([0], np.cumsum(word_n[f.word])))
+                total = np.concatenate(([0.0], np.cumsum(word_sum[f.word] + f.repeat * by_bucket[REPEAT])))
+                count = np.concatenate(([0], np.cumsum(word_n[f.word] + f.repeat)))
                 logit = (total[f.first[1:]] - total[f.first[:-1]]) / np.maximum(count[f.first[1:]] - count[f.first[:-1]], 1) + bias
                 scores.append(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
             p = np.concatenate(scores) if scores else np.empty(0)
