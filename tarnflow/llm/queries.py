@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, url_filter, warc
+import public_tokenizers
+
+from . import fingerprint, language_id, packing, quality, url_filter, warc
 from ._tables import shared_dir, table, written
 
 
@@ -28,6 +30,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.withColumn("held_out", held_out(5, 0)), model, threshold=0.3)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = f"{shared_dir(spark)}/tarnflow/warc-{uuid.uuid4().hex}"
@@ -67,6 +77,8 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m where n
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_packing": op6_packing,
     "op8_warc": op8_warc,
     "op10_url_filters": op10_url_filters,
 }
