@@ -9,10 +9,26 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import fingerprint, language_id, packing, quality, url_filter, warc
+from . import fingerprint, language_id, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
 from ._tables import shared_dir, table, written
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+OP1_SQL = r"""
+with d as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as ws from documents),
+ w as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word from d),
+ g as (select doc_id, s, md5(array_to_string(ws[s:s + 19], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from d where len(ws) >= 20)),
+ r as (select doc_id, s from (select *, row_number() over (partition by h order by doc_id, s) as n from g) where n > 1),
+ gone as (select distinct doc_id, unnest(range(s, s + 20)) as i from r),
+ k as (select w.doc_id, count(*) as n_words, count(gone.i) as n_removed, sha256(coalesce(string_agg(case when gone.i is null then word end, ' ' order by w.i), '')) as kept_sha256
+   from w left join gone on w.doc_id = gone.doc_id and w.i = gone.i group by w.doc_id)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256 from d left join k on d.doc_id = k.doc_id
+"""
+
+
 def held_out(modulus: int, rest: int):
     """Whether the CRC-32 of doc_id, written as text, leaves this rest; false where doc_id is null."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))
@@ -59,6 +75,10 @@ from (select *, min(page_id) over (partition by payload_digest) as first from d)
 """
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, url_filter.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -75,15 +95,18 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m where n
 """
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": OP1_SQL,
     "op8_warc": OP8_SQL,
     "op10_url_filters": OP10_SQL,
 }
