@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._features import PART_BYTES, PART_TEXTS
 from ._text import mix64
 
 PIECE_CHARS = 64
@@ -51,74 +52,129 @@ def digests(text: str) -> np.ndarray:
     return out
 
 
-class Sketch:
-    """cells must be a multiple of three."""
-
-    def __init__(self, keys: np.ndarray, cells: int = CELLS):
-        self.size, self.cells = len(keys), cells
-        self.count = np.zeros(cells, dtype=np.int64)
-        self.keys = np.zeros(cells, dtype=np.uint64)
-        self.checks = np.zeros(cells, dtype=np.uint64)
-        self._add(keys, np.ones(len(keys), dtype=np.int64))
-
-    def _add(self, keys: np.ndarray, sign: np.ndarray) -> None:
-        width = self.cells // 3
-        at = np.concatenate([(mix64(keys ^ salt) % np.uint64(width)).astype(np.int64) + i * width for i, salt in enumerate(_SALTS)])
-        factor = sign.astype(np.uint64)  # -1 wraps around, as the sums do
-        np.add.at(self.count, at, np.tile(sign, 3))
-        np.add.at(self.keys, at, np.tile(keys * factor, 3))
-        np.add.at(self.checks, at, np.tile(mix64(keys ^ _CHECK) * factor, 3))
-
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(np.empty(0, dtype=np.uint64), self.cells)
-        out.count, out.keys, out.checks = self.count - other.count, self.keys - other.keys, self.checks - other.checks
+class Sketches:
+    """The sketches of several texts, a row for each; cells must be a multiple of three.
+
+    Digests come as one array, with the row of each beside them.
+    """
+
+    def __init__(self, keys: np.ndarray, row: np.ndarray, rows: int, cells: int = CELLS):
+        self.cells = cells
+        self.count = np.zeros((rows, cells), dtype=np.int64)
+        self.keys = np.zeros((rows, cells), dtype=np.uint64)
+        self.checks = np.zeros((rows, cells), dtype=np.uint64)
+        self._add(keys, row, np.ones(len(keys), dtype=np.int64))
+
+    def _add(self, keys: np.ndarray, row: np.ndarray, sign: np.ndarray) -> None:
+        width, factor = self.cells // 3, sign.astype(np.uint64)  # -1 wraps around, as the sums do
+        checks = mix64(keys ^ _CHECK) * factor
+        signed = keys * factor
+        for i in range(3):
+            at = row * self.cells + (mix64(keys ^ _SALTS[i]) % np.uint64(width)).astype(np.int64) + i * width
+            np.add.at(self.count.reshape(-1), at, sign)
+            np.add.at(self.keys.reshape(-1), at, signed)
+            np.add.at(self.checks.reshape(-1), at, checks)
+
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches.__new__(Sketches)
+        out.cells, out.count, out.keys, out.checks = self.cells, self.count - other.count, self.keys - other.keys, self.checks - other.checks
         return out
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """The digests with count +1 and with count -1 that a difference holds; None if some can't be recovered.
-        Empties the sketch."""
-        plus, minus = [], []
-        while True:
-            single = np.flatnonzero(np.abs(self.count) == 1)
-            sign = self.count[single]
-            keys = self.keys[single] * sign.astype(np.uint64)
-            pure = mix64(keys ^ _CHECK) * sign.astype(np.uint64) == self.checks[single]
+    def least_difference(self) -> np.ndarray:
+        """Of each row of a difference, at least how many digests it holds: each is in one cell of each subtable."""
+        return np.abs(self.count).reshape(len(self.count), 3, -1).sum(axis=2).max(axis=1, initial=0)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Empties a difference.  Returns row, digest and sign of what it held, and which rows were recovered whole."""
+        rows, found, signs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+        look = np.flatnonzero(np.abs(self.count.reshape(-1)) == 1)
+        while len(look):
+            sign = self.count.reshape(-1)[look]
+            factor = sign.astype(np.uint64)
+            keys = self.keys.reshape(-1)[look] * factor
+            pure = mix64(keys ^ _CHECK) * factor == self.checks.reshape(-1)[look]
             if not pure.any():
                 break
-            keys, at = np.unique(keys[pure], return_index=True)
-            sign = sign[pure][at]
-            self._add(keys, -sign)
-            plus.append(keys[sign > 0])
-            minus.append(keys[sign < 0])
-        if self.count.any() or self.keys.any() or self.checks.any():
-            return None
-        empty = np.empty(0, dtype=np.uint64)
-        return np.concatenate([empty, *plus]), np.concatenate([empty, *minus])
-
-    def text(self) -> str:
-        """The sketch as printable text; equal texts have equal sketches."""
-        return f"{self.size}:" + base64.b64encode(self.count.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u8").tobytes()).decode()
-
-
-def difference(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The digests that only a has and that only b has, recovered from sketches that grow until they can be peeled."""
-    cells = CELLS
-    x, y = first or (Sketch(a), Sketch(b))
-    while (found := x.minus(y).peel()) is None:
-        cells *= GROWTH
-        x, y = Sketch(a, cells), Sketch(b, cells)
-    return found
+            row, keys, sign = look[pure] // self.cells, keys[pure], sign[pure]
+            by = np.lexsort((keys, row))
+            row, keys, sign = row[by], keys[by], sign[by]
+            fresh = np.ones(len(row), dtype=bool)
+            fresh[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+            row, keys, sign = row[fresh], keys[fresh], sign[fresh]
+            self._add(keys, row, -sign)
+            rows.append(row)
+            found.append(keys)
+            signs.append(sign)
+            look = np.flatnonzero(np.abs(self.count.reshape(-1)) == 1)
+        whole = ~(self.count.any(axis=1) | self.keys.any(axis=1) | self.checks.any(axis=1))
+        return np.concatenate(rows), np.concatenate(found), np.concatenate(signs), whole
+
+    def texts(self) -> list[str]:
+        """Each sketch as printable text; equal texts have equal sketches."""
+        parts = (self.count.astype("<i4"), self.keys.astype("<u8"), self.checks.astype("<u8"))
+        return [base64.b64encode(b"".join(p[i].tobytes() for p in parts)).decode() for i in range(len(self.count))]
+
+
+class Texts:
+    """The digests of some texts, and their sketches of the first size."""
+
+    def __init__(self, texts: list[str]):
+        each = [digests(t) for t in texts]
+        self.size = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        self.keys = np.concatenate([np.empty(0, dtype=np.uint64), *each])
+        self.row = np.repeat(np.arange(len(each)), self.size)
+        self.sketches = Sketches(self.keys, self.row, len(each))
+
+    def rows(self, which: np.ndarray) -> Texts:
+        """Some of the texts, in the order asked for; their digests are not made again."""
+        out = Texts.__new__(Texts)
+        begin = np.cumsum(self.size) - self.size
+        out.size = self.size[which]
+        out.row = np.repeat(np.arange(len(which)), out.size)
+        out.keys = self.keys[np.arange(len(out.row)) - np.repeat(np.cumsum(out.size) - out.size, out.size) + begin[which][out.row]]
+        out.sketches = Sketches.__new__(Sketches)
+        out.sketches.cells, out.sketches.count, out.sketches.keys, out.sketches.checks = self.sketches.cells, self.sketches.count[which], self.sketches.keys[which], self.sketches.checks[which]
+        return out
 
+    def grown(self, cells: int) -> Texts:
+        out = Texts.__new__(Texts)
+        out.size, out.keys, out.row = self.size, self.keys, self.row
+        out.sketches = Sketches(self.keys, self.row, len(self.size), cells)
+        return out
 
-class Fingerprint:
-    def __init__(self, text: str):
-        self.digests = digests(text)
-        self.sketch = Sketch(self.digests)
 
-    def likeness(self, other: Fingerprint) -> float:
-        only, others = difference(self.digests, other.digests, (self.sketch, other.sketch))
-        either = len(self.digests) + len(others)
-        return (len(self.digests) - len(only)) / either if either else 1.0
+def differences(a: Texts, b: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, digest and sign (1: only a has it, -1: only b) of all digests in which rows of a and b differ, recovered from
+    their sketches; rows whose sketches can't be peeled are tried again with larger ones."""
+    found, which, cells = [], np.arange(len(a.size)), CELLS
+    while len(which):
+        left = a.sketches.minus(b.sketches)
+        least = left.least_difference()
+        # A row with more digests than cells can't be peeled: that failure needs no attempt.
+        tried = least <= left.cells
+        for table in (left.count, left.keys, left.checks):
+            table[~tried] = 0
+        row, keys, sign, whole = left.peel()
+        good = tried & whole
+        found.append((which[row[good[row]]], keys[good[row]], sign[good[row]]))
+        again = np.flatnonzero(~good)
+        which, least = which[again], least[again]
+        a, b = a.rows(again), b.rows(again)
+        cells *= GROWTH
+        while len(least) and cells < least.min():
+            cells *= GROWTH
+        if len(which):
+            a, b = a.grown(cells), b.grown(cells)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+
+
+def likeness(a: Texts, b: Texts) -> np.ndarray:
+    """Of each row: the paragraphs that both have over those that either has."""
+    row, _, sign = differences(a, b)
+    only = np.bincount(row[sign > 0], minlength=len(a.size))
+    others = np.bincount(row[sign < 0], minlength=len(a.size))
+    either = a.size + others
+    return np.where(either > 0, (a.size - only) / np.maximum(either, 1), 1.0)
 
 
 def edited(text: str, following: str) -> str:
@@ -127,6 +183,29 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _compared(pairs: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    """The result rows of (id, text, following text)."""
+    ids, own, following = zip(*pairs, strict=True)
+    changed = [edited(t, n) for t, n in zip(own, following, strict=True)]
+    # Most following texts are the next pair's own; they are digested once.
+    every: dict[str, int] = {}
+    for t in (*own, *following):
+        every.setdefault(t, len(every))
+    texts, changes = Texts(list(every)), Texts(changed)
+    mine = texts.rows(np.array([every[t] for t in own]))
+    theirs = texts.rows(np.array([every[t] for t in following]))
+    columns = {
+        "doc_id": pa.array(ids, pa.int64()),
+        "n_chars": pa.array([len(t) for t in own], pa.int64()),
+        "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
+        "fingerprint": pa.array(mine.sketches.texts(), pa.string()),
+        "edited_fingerprint": pa.array(changes.sketches.texts(), pa.string()),
+        "near_edited": pa.array(likeness(mine, changes), pa.float64()),
+        "near_next": pa.array(likeness(mine, theirs), pa.float64()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document: its fingerprint, that of its edited text, and their likeness to each other and to the next."""
     spark = docs.sparkSession
@@ -149,25 +228,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(before, pa.int32()), *copies.columns, pa.array(np.ones(len(begins)), pa.int32())], ["place", "doc_id", "text", "follows"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        waiting = None  # place, id, text and fingerprint of the document that waits for its next
+        waiting = None  # the document that waits for its next: place, follows, id, text
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            out = []
-            for place, doc_id, text, follows in zip(*(batch.column(n).to_pylist() for n in ("place", "doc_id", "text", "follows")), strict=True):
-                if follows and waiting is None:
-                    continue
-                mark = Fingerprint(text)
-                if waiting:
-                    own_place, own_id, own, own_mark = waiting
-                    if place != own_place:
+            for place, follows, doc_id, text in zip(*(batch.column(n).to_pylist() for n in ("place", "follows", "doc_id", "text")), strict=True):
+                if waiting is not None:
+                    if place != waiting[0]:
                         raise ValueError("a range lacks its following document")
-                    changed = edited(own, text)
-                    changed_mark = Fingerprint(changed)
-                    out.append((own_id, len(own), hashlib.sha256(changed.encode()).hexdigest(), own_mark.sketch.text(), changed_mark.sketch.text(), own_mark.likeness(changed_mark), own_mark.likeness(mark)))
-                waiting = None if follows else (place, doc_id, text, mark)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    held.append((waiting[1], waiting[2], text))
+                    size += len(text)
+                    if size >= PART_BYTES or len(held) >= PART_TEXTS:
+                        yield _compared(held)
+                        held, size = [], 0
+                    waiting = None
+                if not follows:
+                    waiting = (place, doc_id, text)
+        if held:
+            yield _compared(held)
 
     dealt = rows.mapInArrow(deal, "place int, doc_id long, text string, follows int")
     ordered = dealt.repartitionById(len(bounds) + 1, "place").sortWithinPartitions("place", "follows", F.col("doc_id").asc_nulls_first(), "text")
