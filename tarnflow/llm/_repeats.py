@@ -28,11 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._features import parts
-from ._tables import written
+from ._tables import keyed
 from ._text import Words, byte_grams, grams, mix64, window_anchor
 
 MOST_CONTENTS = 1500
-NULL_ID = -(1 << 63)  # stands for a null document id
 
 
 @dataclass(frozen=True)
@@ -90,28 +89,13 @@ CHUNK_SYMBOLS = 60_000  # symbols of pieces that one index is built for, a whole
 _LONG = pa.int64()
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (a unique long in the order of the ids), id, text.
-
-    The ids themselves, where they are unique, which one pass over the id column tells.  Otherwise documents are
-    numbered in order of id and text, and written, so that the numbers stay.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    key = F.coalesce("id", F.lit(NULL_ID))
-    rows = rows.withColumn("doc", key)
-    if rows.groupBy("doc").count().where("count > 1").isEmpty():
-        return rows
-    ordered = rows.repartitionByRange(F.col("id"), F.col("text")).sortWithinPartitions("id", "text")
-    return written(ordered.withColumn("doc", F.monotonically_increasing_id()), "numbered")
-
-
 def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schema: str, keep_first: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Applies ``cut(id, symbols, spans)`` to every document and returns its rows.
 
     spans: sorted, disjoint (start, end) of the symbols to remove.  With keep_first a window is removed if an equal
     one starts earlier (in a document of smaller id, or earlier in the same one); else if an equal one starts anywhere else.
     """
-    rows = _keyed(docs, id_col, text_col)
+    rows, _ = keyed(docs, id_col, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

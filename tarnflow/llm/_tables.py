@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+NULL_ID = -(1 << 63)  # stands for a null document id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +30,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tarnflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """doc (a unique long in the order of the ids), id, text; and whether doc is the id itself (NULL_ID where that is null).
+
+    The ids themselves, where they are unique, which one pass over the id column tells.  Otherwise documents are
+    numbered in order of id and text, and written, so that the numbers stay.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    key = F.coalesce("id", F.lit(NULL_ID))
+    rows = rows.withColumn("doc", key)
+    if rows.groupBy("doc").count().where("count > 1").isEmpty():
+        return rows, True
+    ordered = rows.repartitionByRange(F.col("id"), F.col("text")).sortWithinPartitions("id", "text")
+    return written(ordered.withColumn("doc", F.monotonically_increasing_id()), "numbered"), False

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import fingerprint, language_id, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
+from . import fingerprint, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
 from ._tables import shared_dir, table, written
 
 
@@ -54,6 +54,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("doc")
+
+
+OP7_SQL = r"""
+with recursive d as (select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as ws from documents),
+ s as (select distinct doc_id, sh from (
+   select doc_id, array_to_string(ws[i:i + 3], ' ') as sh from (select doc_id, ws, unnest(range(1, len(ws) - 2)) as i from d where len(ws) >= 4)
+   union all select doc_id, array_to_string(ws, ' ') from d where len(ws) between 1 and 3)),
+ n as (select doc_id, count(*) as n from s group by doc_id),
+ e as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+ l as (select a, b from e join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
+ r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a),
+ c as (select a as doc_id, min(b) as component_id from r group by a)
+select c.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, c.doc_id = component_id as kept from c left join n on c.doc_id = n.doc_id
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = f"{shared_dir(spark)}/tarnflow/warc-{uuid.uuid4().hex}"
@@ -100,6 +118,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_warc": op8_warc,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_url_filters": op10_url_filters,
@@ -107,6 +126,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op10_url_filters": OP10_SQL,
 }
