@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import fingerprint, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
+from . import decontaminate, fingerprint, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
 from ._tables import shared_dir, table, written
 
 
@@ -29,6 +29,10 @@ select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def held_out(modulus: int, rest: int):
     """Whether the CRC-32 of doc_id, written as text, leaves this rest; false where doc_id is null."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))
@@ -114,6 +118,7 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m where n
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_fingerprints": op5_fingerprints,
