@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._features import parts
-from ._tables import keyed
+from ._tables import keyed, written
 from ._text import Words, byte_grams, grams, mix64, window_anchor
 
 MOST_CONTENTS = 1500
@@ -89,13 +89,15 @@ CHUNK_SYMBOLS = 60_000  # symbols of pieces that one index is built for, a whole
 _LONG = pa.int64()
 
 
-def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schema: str, keep_first: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schema: str, keep_first: bool, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Applies ``cut(id, symbols, spans)`` to every document and returns its rows.
 
     spans: sorted, disjoint (start, end) of the symbols to remove.  With keep_first a window is removed if an equal
-    one starts earlier (in a document of smaller id, or earlier in the same one); else if an equal one starts anywhere else.
+    one starts earlier (in a document of smaller id, or earlier in the same one); else if an equal one starts anywhere
+    else.  With carry, the struct ``rest`` has the document's other columns.
     """
-    rows, _ = keyed(docs, id_col, text_col)
+    rows, _ = keyed(docs, id_col, text_col, carry)
+    rest = ["rest"] if carry else []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +146,7 @@ def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schem
 
         # All columns are asked for, so that this and the last step read the same exchange of the texts.
         some = known.where(F.exists("firsts", lambda f: f.kind.between(lowest, highest)))
-        return some.select("id", "doc", "text", "places", "firsts").mapInArrow(run, "anchor long, doc long, place long, copies int, piece binary")
+        return some.select("id", "doc", "text", *rest, "places", "firsts").mapInArrow(run, "anchor long, doc long, place long, copies int, piece binary")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs decide on whole anchors, several at a time.  Rows come sorted by anchor, doc and place."""
@@ -185,13 +187,16 @@ def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schem
             for doc_id, text, places, marks, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "places", "firsts", "runs")), strict=True):
                 symbols = frame.split((text or "").encode())
                 out.append(cut(doc_id, text, symbols, _spans(len(symbols), frame.window, places, marks, runs, keep_first)))
-            yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
+            made = pa.RecordBatch.from_pylist(out, schema=arrow_schema)
+            yield pa.RecordBatch.from_arrays([*made.columns, *(batch.column(c) for c in rest)], [*made.schema.names, *rest])
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
-    return known.join(runs, "doc", "left").select("id", "text", "places", "firsts", "runs").mapInArrow(finish, schema)
+    returned = StructType.fromDDL(schema)
+    arrow_schema = to_arrow_schema(returned)
+    full = StructType(returned.fields + [f for f in rows.schema.fields if f.name in rest])
+    return known.join(runs, "doc", "left").select("id", "text", *rest, "places", "firsts", "runs").mapInArrow(finish, full)
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:

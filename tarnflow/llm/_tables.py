@@ -32,13 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, bool]:
     """doc (a unique long in the order of the ids), id, text; and whether doc is the id itself (NULL_ID where that is null).
 
     The ids themselves, where they are unique, which one pass over the id column tells.  Otherwise documents are
-    numbered in order of id and text, and written, so that the numbers stay.
+    numbered in order of id and text, and written, so that the numbers stay.  With carry, the other columns come along as
+    a struct, rest.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    others = [F.struct(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]).alias("rest")] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *others)
     key = F.coalesce("id", F.lit(NULL_ID))
     rows = rows.withColumn("doc", key)
     if rows.groupBy("doc").count().where("count > 1").isEmpty():

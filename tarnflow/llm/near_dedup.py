@@ -98,6 +98,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     Two documents are linked if 100 * |both| >= percent * |either|.
     """
     rows, plain = keyed(docs, id_col, text_col)
+    return _judged(rows, plain, shingle, percent).drop("doc")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those of docs, with all their columns, that are the one of their component that stays."""
+    rows, plain = keyed(docs, id_col, text_col, carry=True)
+    stay = _judged(rows, plain, shingle, percent).where("kept").select("doc")
+    own = {id_col: "id", text_col: "text"}
+    return rows.join(stay, "doc", "left_semi").select(*[F.col(own.get(c, f"rest.{c}")).alias(c) for c in docs.columns])
+
+
+def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFrame:
+    """The result of near_duplicates, and doc."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -134,7 +134,7 @@ def _cut_words(doc_id, text, words, spans) -> dict:
     return {"doc_id": doc_id, "n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": hashlib.sha256(joined).hexdigest(), "kept": joined.decode()}
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (unless turned off) kept: the words that are left, joined by one space."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -144,7 +144,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
             del row["kept"]
         return row
 
-    return repeated(docs, Frame("word", window, gram), decide_by_automaton(window), cut, schema + ", kept string" * keep_text, True, id_col, text_col)
+    return repeated(docs, Frame("word", window, gram), decide_by_automaton(window), cut, schema + ", kept string" * keep_text, True, id_col, text_col, carry)
 
 
 def against_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

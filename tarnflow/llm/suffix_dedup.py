@@ -185,7 +185,7 @@ def _cut_bytes(doc_id, text, data: bytes, spans) -> dict:
     return {"doc_id": doc_id, "n_bytes": len(data), "n_removed": len(data) - len(left), "n_spans": len(spans), "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left.decode("utf-8", "ignore")}
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, carry: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (unless turned off) kept: what is left of the text."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -195,4 +195,4 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
             del row["kept"]
         return row
 
-    return repeated(docs, Frame("byte", window, gram), decide_by_suffix_array(window), cut, schema + ", kept string" * keep_text, False, id_col, text_col)
+    return repeated(docs, Frame("byte", window, gram), decide_by_suffix_array(window), cut, schema + ", kept string" * keep_text, False, id_col, text_col, carry)
