@@ -47,7 +47,8 @@ def flatten(stream: Stream, array: Column | str, name: str = "value", keep: tupl
 
 
 def inspect(stream: Stream, observation: Observation | str, *metrics: Column) -> Stream:
-    """Measures what passes, and passes it on unchanged."""
+    """Measures what passes, and passes it on unchanged.  A plan that reads the stream twice, as a global sort does to find
+    its ranges, measures it twice."""
     return replace(stream, df=stream.df.observe(observation, *(metrics or (F.count(F.lit(1)).alias("records"),))))
 
 
