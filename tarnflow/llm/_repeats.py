@@ -109,7 +109,7 @@ def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schem
 
     pieces = rows.select("doc", "text").mapInArrow(scan, "anchor long not null, content long not null, doc long not null, place long not null")
     often = pieces.groupBy("anchor").count().where("count > 1").select("anchor")
-    shared = pieces.join(often, "anchor", "left_semi")
+    shared = written(pieces.join(often, "anchor", "left_semi"), "pieces")  # read three times
 
     contents = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("copies"))
     variants = contents.groupBy("anchor").agg(F.count("*").alias("variants"))
