@@ -108,13 +108,15 @@ def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schem
                 at += len(part)
 
     pieces = rows.select("doc", "text").mapInArrow(scan, "anchor long not null, content long not null, doc long not null, place long not null")
-    often = pieces.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, so that the join below has an exchange on either side, which adaptive execution can split at a hot anchor.
+    often = written(pieces.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     shared = written(pieces.join(often, "anchor", "left_semi"), "pieces")  # read three times
 
     contents = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("copies"))
-    variants = contents.groupBy("anchor").agg(F.count("*").alias("variants"))
-    kind = F.when(F.col("variants") == 1, 0).when(F.col("variants") <= MOST_CONTENTS, 1).otherwise(2)
-    firsts = contents.join(variants, "anchor").select("first.doc", "first.place", "anchor", (kind * 2 + F.when(F.col("copies") > 1, 1).otherwise(0)).alias("kind"))
+    contents = written(contents, "contents")
+    variants = written(contents.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
+    kind = F.when(F.col("variants").isNull(), 0).when(F.col("variants") <= MOST_CONTENTS, 1).otherwise(2)
+    firsts = contents.join(variants, "anchor", "left").select("first.doc", "first.place", "anchor", (kind * 2 + F.when(F.col("copies") > 1, 1).otherwise(0)).alias("kind"))
     # Of each document: the places of all its shared pieces, and more about those that are the first of their content.
     # Places take 8 bytes, so what a document's row holds is in proportion to its text.
     none = F.lit(None)
