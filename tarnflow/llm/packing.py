@@ -106,7 +106,8 @@ def _merger(level: int, last: bool, capacity: int):
     """The function that packs what FAN_IN tasks have handed on."""
 
     def merge(key, bins):
-        items = sorted((fill, [tuple(m.values()) for m in members]) for fill, members in zip(bins.column("fill").to_pylist(), bins.column("members").to_pylist(), strict=True))
+        items = [(fill, [tuple(m.values()) for m in members]) for fill, members in zip(bins.column("fill").to_pylist(), bins.column("members").to_pylist(), strict=True)]
+        items.sort(key=lambda b: (b[0], [(m[0] is not None, m[0] or 0, *m[1:]) for m in b[1]]))  # the same in any attempt
         return pa.Table.from_batches([_batch(pack_node(items, level, key[0].as_py(), 0, last, capacity))])
 
     return merge

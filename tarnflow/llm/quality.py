@@ -49,6 +49,8 @@ class Model:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: np.ndarray, epochs: int = 12, rate: float = 2.0, seed: int = 3) -> Model:
     """rows: buckets and counts of each document.  prior: the share of each label among all labelled documents, which
     the balanced sample does not show."""
+    if not rows:
+        return Model(np.zeros((BUCKETS + 1, DIMENSIONS), dtype=np.float32), np.zeros((DIMENSIONS, LABELS), dtype=np.float32), np.zeros(LABELS, dtype=np.float32))
     draw = np.random.default_rng(seed)
     vectors = draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS + 1, DIMENSIONS)).astype(np.float32)
     layer, bias = draw.normal(0, 0.1, (DIMENSIONS, LABELS)).astype(np.float32), np.zeros(LABELS, dtype=np.float32)
