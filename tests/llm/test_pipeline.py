@@ -1,0 +1,61 @@
+"""The pipeline's stages on a small corpus with one case of each kind."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from tarnflow.llm import queries
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    draw = random.Random(12)
+    prose = lambda letters, n: " ".join("".join(draw.choices(letters, k=draw.randint(3, 8))) for _ in range(n))
+    rows = [(i, prose("abcdefg", 120), "aa", "s") for i in range(40)] + [(100 + i, prose("nopqrst", 120), "bb", "s") for i in range(40)]
+    passage, leak = prose("abcdefg", 80), prose("abcdefg", 30)
+    words = rows[3][1].split()
+    words[60] = "changed"
+    rows += [(200, rows[1][1], "aa", None), (201, " ".join(words), None, "s"), (202, f"{prose('abcdefg', 90)} {passage} {prose('abcdefg', 90)}", "aa", "s"), (203, f"{prose('abcdefg', 90)} {passage} {prose('abcdefg', 90)}", "aa", "s")]
+    rows += [(204, f"{prose('abcdefg', 50)} {leak} {prose('abcdefg', 50)}", "aa", "s"), (205, None, None, None), (206, "123 456", "aa", "s"), (207, "", "aa", "s")]
+    folder = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None) for r in rows], COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder), passage
+
+
+def test_stages(spark, sf_dir):
+    folder, passage = sf_dir
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ids, held = [], docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = spark.createDataFrame(stage(spark, held, folder).collect(), docs.schema)
+        assert held.columns == docs.columns, name
+        ids.append({r["doc_id"] for r in held.collect()})
+    clean = set(range(40)) | set(range(100, 140)) | {202, 203}
+    assert ids[0] == clean | {200, 201, 204}
+    assert ids[1] == clean | {204} and ids[2] == ids[1] and ids[3] == clean
+    texts = {r["doc_id"]: r for r in held.collect()}
+    assert all(passage not in r["text"] and r["n_chars"] == len(r["text"]) for r in texts.values())
+    assert texts[5]["text"] == docs.where("doc_id = 5").first()["text"]
+    out = corpus_pipeline.run(spark, folder)
+    assert {r["doc_id"] for r in out.collect()} == clean
+
+
+def test_stages_take_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir[0]}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir[0]).count() == 0
+
+
+def test_stages_take_nulls_and_repeated_rows(spark, sf_dir):
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (1, "abc", "aa", None, None), (1, "abc", "aa", None, None), (None, "abc " * 9, None, None, 1)], COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir[0]).count() <= 5, name
+
+
+def test_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

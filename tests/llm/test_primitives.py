@@ -1,0 +1,140 @@
+"""The numpy and pure Python parts, against their definitions."""
+
+import io
+import random
+import struct
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tarnflow.llm import decontaminate, fingerprint, language_id, near_dedup, packing, warc
+from tarnflow.llm._text import Words, byte_grams, grams, window_anchor
+from tarnflow.llm.substring_dedup import SuffixAutomaton
+from tarnflow.llm.suffix_dedup import suffix_array
+
+
+@given(st.lists(st.integers(1, 4), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_suffix_array(symbols):
+    assert suffix_array(symbols) == sorted(range(len(symbols)), key=lambda i: symbols[i:])
+
+
+@given(st.lists(st.lists(st.integers(1, 3), max_size=12), max_size=5), st.lists(st.integers(1, 3), max_size=15))
+@settings(max_examples=200, deadline=None)
+def test_matching_statistics(sequences, text):
+    automaton = SuffixAutomaton()
+    for s in sequences:
+        automaton.add(s)
+    parts = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i, len(s) + 1)} | {()}
+    assert list(automaton.matches(text)) == [max(n for n in range(i + 2) if tuple(text[i + 1 - n : i + 1]) in parts) for i in range(len(text))]
+
+
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=9), st.lists(st.integers(1, 4), max_size=14))
+@settings(max_examples=200, deadline=None)
+def test_bit_parallel_distance(item, text):
+    m, n = len(item), len(text)
+    table = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(1, m + 1):
+        table[i][0] = i
+        for j in range(1, n + 1):
+            table[i][j] = min(table[i - 1][j - 1] + (item[i - 1] != text[j - 1]), table[i - 1][j] + 1, table[i][j - 1] + 1)
+    least = min(table[m])
+    assert decontaminate.best_match(item, text) == (least, table[m].index(least))
+
+
+@given(st.lists(st.text(alphabet="ab \n\té\x0b\x1c", max_size=30), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_words_are_those_of_bytes_split(texts):
+    raw = [t.encode() for t in texts]
+    w = Words(raw)
+    for i, t in enumerate(raw):
+        assert [w.data[w.start[j] : w.end[j]] for j in range(w.first[i], w.first[i + 1])] == t.split()
+    by_word = {}
+    for j in range(len(w)):
+        assert by_word.setdefault(w.data[w.start[j] : w.end[j]], w.hash[j]) == w.hash[j]
+    assert len(set(by_word.values())) == len(by_word)
+
+
+def test_grams_and_anchors_depend_on_content_alone():
+    draw = np.random.default_rng(1)
+    symbols = draw.integers(0, 3, 400).astype(np.uint64)
+    buf = symbols.astype(np.uint8)
+    for k in (1, 5, 30):
+        for found, content in ((grams(symbols, k), symbols), (byte_grams(buf, k), buf)):
+            seen = {}
+            for i, h in enumerate(found.tolist()):
+                assert seen.setdefault(content[i : i + k].tobytes(), h) == h
+            assert len(set(seen.values())) == len(seen)
+    window, k = 12, 3
+    anchor, seen = window_anchor(grams(symbols, k), window - k + 1), {}
+    for i in range(len(symbols) - window + 1):
+        assert i <= anchor[i] <= i + window - k
+        assert seen.setdefault(symbols[i : i + window].tobytes(), anchor[i] - i) == anchor[i] - i
+
+
+def test_sketches_recover_differences():
+    draw = random.Random(5)
+    pool = ["".join(draw.choice("abcdef \n") for _ in range(draw.randint(0, 90))) for _ in range(60)]
+    a = ["\n".join(draw.choices(pool, k=draw.randint(0, 80))) for _ in range(40)]
+    b = [x if draw.random() < 0.2 else x[: len(x) // 2] + "\n" + draw.choice(pool) for x in a]
+    left, right = fingerprint.Texts(a), fingerprint.Texts(b)
+    row, keys, sign = fingerprint.differences(left, right)
+    for i in range(len(a)):
+        x, y = set(fingerprint.digests(a[i]).tolist()), set(fingerprint.digests(b[i]).tolist())
+        assert set(keys[(row == i) & (sign > 0)].tolist()) == x - y and set(keys[(row == i) & (sign < 0)].tolist()) == y - x
+    assert (fingerprint.likeness(left, left) == 1).all()
+
+
+def test_codewords_differ():
+    for n in (2, 3, 4, 5, 9, 30):
+        code = language_id.codewords(n)
+        apart = (code.shape[1] - code @ code.T) / 2
+        assert code.shape[0] == n and (apart + np.eye(n) * 99).min() >= (1 if n == 2 else code.shape[1] // 5)
+
+
+def test_best_fit():
+    bins = packing.best_fit([6, 5, 4, 3, 2], 10)
+    assert sorted(map(sorted, bins)) == [[0, 2], [1, 3, 4]]
+    assert packing.pieces(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
+    assert packing.pieces(2048, 1024) == [(0, 1024), (1024, 1024)] and packing.pieces(1, 1024) == [(0, 1)]
+
+
+def test_tokens_are_those_of_the_vocabularys_own_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, fast = Tokenizer.from_file(path), packing.encoder(path)
+    draw = random.Random(2)
+    texts = ["", " ", "a<|endoftext|>b", "It's 12,345 — don't\n\n\tstop  now ", "x" * 3000, "Ñandú  ключ 漢字 🙂🙂", "\u00a0\u2003 \x00\x1f"]
+    texts += ["".join(draw.choice("abcé '\n\t1.😀SsTt<|>") for _ in range(200)) for _ in range(200)]
+    assert [fast.encode(t, allowed_special="all") for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pairs_within_the_distance_share_a_key():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 16, near_dedup.SYMBOLS).astype(np.uint16)
+    near = np.array([base] * 200)
+    for row in near:
+        at = draw.choice(near_dedup.SYMBOLS, 2 * near_dedup.CHUNKS - 1, replace=False)
+        row[at] ^= 1
+    keys, own = near_dedup.chunk_keys(near), near_dedup.chunk_keys(base[None, :])[0]
+    assert all(np.isin(own, k).any() for k in keys)
+
+
+def test_archive_round_trip():
+    draw = random.Random(1)
+    records = [warc.record("response", str(i), "http://x/", "D", bytes(draw.choices(b"abcd <p>", k=draw.randint(0, 4000)))) for i in range(300)]
+    for some in (records, records[:2], []):
+        out = io.BytesIO()
+        writer = warc.ArchiveWriter(out)
+        for r in some:
+            writer.write(r)
+        writer.close()
+        assert struct.unpack("<I", out.getvalue()[:4])[0] == warc.SKIPPABLE_MAGIC
+        assert list(warc.read_archive(io.BytesIO(out.getvalue()), 777)) == some
+    cut = io.BytesIO(out.getvalue()[:4] + b"\xff")
+    with pytest.raises((ValueError, struct.error)):
+        list(warc.read_archive(cut))
