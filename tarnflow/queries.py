@@ -10,8 +10,10 @@ from . import operators  # noqa: F401  attaches the operators to Stream
 from .operators import epochs, limit_out_of_orderness, union_frontier
 from .plans.scan import Scan
 from .sinks import formatted, kafka_columns, line_numbers
-from .sources import from_table, kafka_records
+from .sources import from_iterable, from_table, kafka_records
 from .stream import EPOCH_BEFORE, KEY, SEQ, TS, Stream
+from .streaming import count_batches, keyed_fold, run_available, stamp_epochs, work_dir
+from .streaming.operators import split_late
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -275,11 +277,78 @@ def sink_stdout_fmt(spark, sf_dir):
     return stream.df.select("event_id", formatted(stream).alias("line"))
 
 
+# -- unbounded runs: the same dataflows over a stream of files, run until all is read -----------------------------------
+def _streamed_events(spark, sf_dir) -> Stream:
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    # A pattern, though it fits one path only: a plain path must be a folder.
+    df = spark.readStream.schema(columns).parquet(f"{sf_dir}/events.[p]arquet")
+    return Stream(df.select(F.col("event_id").alias(SEQ), F.unix_micros(F.col("ts").cast("timestamp")).alias(TS), F.col("user_id").alias(KEY), "event_id", _cents().alias("cents")))
+
+
+def _ran(spark, stream: Stream, name: str) -> DataFrame:
+    folder = work_dir(spark, name)
+    run_available(stream, f"{folder}/checkpoint", f"{folder}/out")
+    return spark.read.schema(stream.df.schema).parquet(f"{folder}/out")
+
+
+def stream_running_sum(spark, sf_dir):
+    def step(key, record, state):
+        return {"event_id": record["event_id"], "k": key, "total_cents": state + record["cents"]}, state + record["cents"]
+
+    return _ran(spark, keyed_fold(_streamed_events(spark, sf_dir), step, "event_id long, k long, total_cents long", int), "running-sum")
+
+
+def stream_batch_n(spark, sf_dir):
+    """The batches that are full; what is open stays in the state."""
+    full = _ran(spark, count_batches(_streamed_events(spark, sf_dir), 3, "event_id"), "batches")
+    return full.select(F.col(KEY).alias("k"), F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("id_sum"), "closed_at")
+
+
+def stream_late(spark, sf_dir):
+    """Late events, when every seventh arrives 20 places late."""
+    events = _streamed_events(spark, sf_dir)
+    permuted = Stream(events.df.withColumn(SEQ, (F.col("event_id") + F.when(F.col("event_id") % 7 == 0, 20).otherwise(0)) * 1_000_000 + F.col("event_id") % 1_000_000))
+    stamped = _ran(spark, stamp_epochs(permuted, lambda record: record[TS] - 3_600_000_000), "late")
+    return split_late(Stream(stamped))[1].df.select("event_id")
+
+
+# -- literal inputs -----------------------------------------------------------------------------------------------------
+_AMOUNTS = (("01-01", 1000), ("01-05", -20), ("01-17", -150), ("02-04", -300), ("02-16", 60), ("02-25", 75), ("03-16", -55), ("03-31", 200), ("04-05", -10), ("04-19", -5))
+_OUT_OF_ORDER = (("01-01", 1000), ("01-05", -20), ("02-04", -300), ("01-17", -150), ("02-16", 60), ("03-16", -55), ("02-25", 75), ("04-05", -10), ("03-31", 200), ("04-19", -5))
+
+
+def _monthly(spark, rows, candidate: Column) -> DataFrame:
+    stream = from_iterable(spark, [(f"2025-{d}", a) for d, a in rows], "day string, amount long").map(day=F.to_date("day"), amount=F.col("amount"))
+    stream = stream.key_local(F.struct(F.year("day").alias("year"), F.month("day").alias("month"))).assign_timestamps(F.col("day")).stream
+    stamped = epochs(stream, candidate)
+    closed = stamped.close_on_epoch(stamped, lambda c: F.trunc(c, "month"), F.sum("amount").alias("balance"))
+    return closed.select(F.col(KEY)["year"].alias("year"), F.col(KEY)["month"].alias("month"), "balance", "closed_at")
+
+
+def monthly_balance(spark, sf_dir):
+    return _monthly(spark, _AMOUNTS, F.date_sub(F.trunc(TS, "month"), 1))
+
+
+def monthly_balance_ooo(spark, sf_dir):
+    return _monthly(spark, _OUT_OF_ORDER, F.date_sub(F.col(TS), 62))
+
+
+def ttl_concat(spark, sf_dir):
+    stream = from_iterable(spark, ["foo", "bar", "hello", "world", "baz"], "value string").key_local(F.lit(True))
+
+    def step(key, record, entries):
+        entries = entries | {record[SEQ]: (record["value"], record[TS])}
+        return {"value": "|".join(v for _, (v, _) in sorted(entries.items()))}, entries
+
+    return epochs(stream.assign_timestamps(F.col(SEQ)).stream, F.col(TS)).ttl_fold(2, step, "value string").df.select(F.col(SEQ).alias("seq"), "value")
+
+
 QUERIES = {
     f.__name__.removesuffix("_q"): f
     for f in (
         src_iter, src_lines, kafka_map, map_double, map_upper, filter_lt, filter_map_parse, flatten_words, flatten_keyed, custom_flatten, inspect_metrics, split_flags, split_even_odd, cloned_two, union_all,
         union_frontier_q, key_local, key_counts, index_select, skew_route, rendezvous_stable, running_sum, running_sum_parity, running_extremes, concat_reset, batch_n, flush_max, assign_ts, epochs_monotonic,
         late_split_on_time, late_split_late, late_orders_365d, frontier, daily_balance, daily_balance_ooo, daily_balance_late, monthly_orders, ttl_count, ttl_running_total, sink_line_numbers, sink_stdout_fmt,
+        stream_running_sum, stream_batch_n, stream_late, monthly_balance, monthly_balance_ooo, ttl_concat,
     )
 }

@@ -1,0 +1,14 @@
+"""Where checkpoints and results of unbounded runs go."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which a cluster shares; below a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{(base or f'file://{tempfile.mkdtemp(prefix=name)}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
