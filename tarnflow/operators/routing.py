@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import merge
 from ..plans.scan import Scan, scan
-from ..stream import SEQ, Stream
+from ..stream import RANGE, SEQ, Stream
 
 
 def split(stream: Stream, *flags: Column | str) -> list[Stream]:
@@ -41,10 +41,10 @@ def const_cloned(stream: Stream, count: int) -> tuple[Stream, ...]:
 
 def union(stream: Stream, *others: Stream) -> Stream:
     """All records of all streams.  Their mutual order is not defined, unless they share an order of arrival."""
-    df: DataFrame = stream.df
+    df: DataFrame = stream.df.drop(RANGE)  # each stream has ranges of its own
     names = stream.names
     for other in others:
-        df = df.unionByName(other.df)
+        df = df.unionByName(other.df.drop(RANGE))
         names |= other.names
     return Stream(df, names)
 

@@ -10,9 +10,9 @@ from pyspark.sql import Column, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..stream import EPOCH, EPOCH_BEFORE, KEY, SEQ, TS, Stream
+from ..stream import EPOCH, EPOCH_BEFORE, KEY, RANGE, SEQ, TS, Stream
 
-_ENVELOPE = (KEY, TS, SEQ, EPOCH_BEFORE, EPOCH)
+_ENVELOPE = (KEY, TS, SEQ, EPOCH_BEFORE, EPOCH, RANGE)
 
 
 def _envelope(stream: Stream) -> list[str]:

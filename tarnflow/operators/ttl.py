@@ -9,22 +9,24 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import Scan, scan
-from ..stream import EPOCH_BEFORE, KEY, SEQ, TS, Stream
+from ..plans.scan import Scan, ranges, scan
+from ..stream import EPOCH_BEFORE, KEY, RANGE, SEQ, TS, Stream
 from .stateful import stateful_map
 
 
 def ttl_running(stream: Stream, ttl: Column, **scans: Scan) -> Stream:
     """Running aggregates of each key that start anew once the key's last entry has expired."""
     stream.need(KEY, SEQ, TS, EPOCH_BEFORE)
-    # The key's last timestamp by arrival: windows are cheaper than a scan here, and equal to it.
-    last = F.lag(TS).over(Window.partitionBy(KEY).orderBy(SEQ))
+    # The key's last timestamp by arrival, as a scan, so that a hot key's rows need not meet in one task.
+    df = stream.df if RANGE in stream.df.columns else ranges(stream.df, SEQ)
+    df = scan(df, SEQ, {"__last": Scan("max", F.struct(SEQ, TS), exclusive=True)}, (KEY,))
+    last = F.col("__last")[TS]
     lives = F.coalesce((last + ttl > F.col(EPOCH_BEFORE)) | (last.isNotNull() & F.col(EPOCH_BEFORE).isNull()), F.lit(False))
-    islands = scan(stream.df.withColumn("__fresh", F.when(lives, 0).otherwise(1)), SEQ, {"__island": Scan("sum", F.col("__fresh"))}, (KEY,))
-    return replace(stream, df=scan(islands, SEQ, scans, (KEY, "__island")).drop("__fresh", "__island"))
+    islands = scan(df.withColumn("__fresh", F.when(lives, 0).otherwise(1)), SEQ, {"__island": Scan("sum", F.col("__fresh"))}, (KEY,))
+    return replace(stream, df=scan(islands, SEQ, scans, (KEY, "__island")).drop("__fresh", "__island", "__last"))
 
 
 def ttl_fold(stream: Stream, ttl, function: Callable[[object, dict, dict], tuple[dict, dict]], schema: str) -> Stream:

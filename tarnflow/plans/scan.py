@@ -41,7 +41,7 @@ class Scan:
 def ranges(df: DataFrame, order: str, count: int | None = None) -> DataFrame:
     """df with the number of its range of the order column; ranges are about equally large.
 
-    One pass over that column finds the bounds; ``count`` of them at most reach the driver.
+    One pass over that column finds the bounds, so scans that follow each other should share the column of ranges; ``count`` of them at most reach the driver.
     """
     n = count or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n <= 1:
@@ -63,9 +63,10 @@ def ranges(df: DataFrame, order: str, count: int | None = None) -> DataFrame:
 def scan(df: DataFrame, order: str, scans: dict[str, Scan], keys: tuple[str, ...] = (), reverse: bool = False, then: tuple[str, ...] = (), count: int | None = None) -> DataFrame:
     """df with a column for each scan.
 
+    A column of ranges that df has already (see ``ranges``) is used, and kept; it must be of the same order.
     ``then`` names columns that order rows of equal ``order``.  With ``reverse`` scans run from the end.  Null keys are a key.
     """
-    cut = ranges(df, order, count)
+    cut = df if RANGE in df.columns else ranges(df, order, count)
     direction = (lambda c: F.col(c).desc_nulls_last()) if reverse else (lambda c: F.col(c).asc_nulls_first())
     window = Window.partitionBy(*keys, RANGE).orderBy(*[direction(c) for c in (order, *then)])
     here = {f"__here_{n}": s.aggregate().over(window.rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else 0)) for n, s in scans.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Row
 
-from ..stream import SEQ, Stream
+from ..stream import RANGE, SEQ, Stream
 
 
 class VecSink:
@@ -19,7 +19,7 @@ class VecSink:
     def collect(self, stream: Stream) -> VecSink:
         """Takes a bounded stream's records, in order of arrival if it has one."""
         df = stream.df.orderBy(SEQ) if SEQ in stream.df.columns else stream.df
-        self.give(*df.toLocalIterator())
+        self.give(*df.drop(RANGE).toLocalIterator())
         return self
 
     def drain_vec(self, start: int = 0, stop: int | None = None) -> list[Row]:

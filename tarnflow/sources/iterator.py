@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scan import numbered
+from ..plans.scan import numbered, ranges
 from ..stream import SEQ, TS, Stream
 
 
@@ -27,5 +27,6 @@ def from_table(df: DataFrame, order: Column | str | None = None, then: tuple[str
         return Stream(df)
     column = F.col(order) if isinstance(order, str) else order
     if not dense:
-        return Stream(df.withColumn(SEQ, column.cast("long")))
-    return Stream(numbered(df.withColumn("__order", column), "__order", SEQ, then).drop("__order").withColumn(TS, F.col(SEQ)))
+        return Stream(ranges(df.withColumn(SEQ, column.cast("long")), SEQ))
+    placed = ranges(df.withColumn("__order", column), "__order")  # ranges of the order are ranges of the numbers, too
+    return Stream(numbered(placed, "__order", SEQ, then).drop("__order").withColumn(TS, F.col(SEQ)))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY, TS, SEQ, EPOCH_BEFORE, EPOCH = "_key", "_ts", "_seq", "_epoch_before", "_epoch"
-_RESERVED = (KEY, TS, SEQ, EPOCH_BEFORE, EPOCH)
+RANGE = "__range"  # which range of the order of arrival a record is in, where that is known: see plans.scan
+_RESERVED = (KEY, TS, SEQ, EPOCH_BEFORE, EPOCH, RANGE)
 
 
 @dataclass(frozen=True)
