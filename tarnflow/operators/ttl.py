@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.scan import Scan, ranges, scan
@@ -46,21 +46,23 @@ def ttl_fold(stream: Stream, ttl, function: Callable[[object, dict, dict], tuple
     return stateful_map(stream, step, schema, dict)
 
 
-def ttl_window(stream: Stream, ttl: Column, horizon_seconds: int, slack_seconds: int, column: Column, name: str = "live", finish: Callable[[Column], Column] = F.size) -> DataFrame:
-    """What of the last entries of each key is alive at each record, the record's own entry included.
+def ttl_window(stream: Stream, ttl_seconds: float, horizon_seconds: float, slack_seconds: float = 0, entry: Column | None = None, **aggregates: Callable[[Column, Column], Column]) -> Stream:
+    """Adds aggregates over what is alive of each key's entries at each record, the record's own entry included.
 
-    An entry counts if it arrived no later than the record, is at most ``horizon_seconds`` older, and has not expired.  The
-    records of a key are joined with their neighbours in time by buckets of the horizon, so a record meets two or
-    three buckets, not its whole key.  ``slack_seconds``: by how much a record that arrived earlier may be younger.
+    Of the key's records up to this one, those count that are at most ``horizon_seconds`` older, at most ``slack_seconds``
+    younger, and have not expired.  An aggregate is a function of the entry and its arrival.  Records meet entries by
+    buckets of an eighth of the time to live, from the oldest that may be alive to the youngest: what is compared is in
+    proportion to what is alive, and a hot key's work is spread over its buckets.
     """
     stream.need(KEY, SEQ, TS, EPOCH_BEFORE)
-    seconds = F.unix_micros(F.col(TS).cast("timestamp")) / 1_000_000
-    place = F.floor(seconds / horizon_seconds)
-    back, ahead = 1, -(-slack_seconds // horizon_seconds)
-    entries = stream.df.select(F.col(KEY).alias("__k"), place.alias("__place"), F.col(TS).alias("__t"), F.col(SEQ).alias("__s"), column.alias("__v"))
-    records = stream.df.withColumn("__near", F.explode(F.sequence(place - back, place + ahead)))
-    horizon = F.make_dt_interval(secs=F.lit(horizon_seconds))
-    alive = (F.col("__s") == F.col(SEQ)) | F.col(EPOCH_BEFORE).isNull() | (F.col("__t") + ttl > F.col(EPOCH_BEFORE))
-    met = records.join(entries, F.col(KEY).eqNullSafe(F.col("__k")) & (F.col("__near") == F.col("__place")) & (F.col("__s") <= F.col(SEQ)) & (F.col("__t") >= F.col(TS) - horizon) & alive)
-    kept = [c for c in stream.df.columns if c != "__near"]
-    return met.groupBy(*kept).agg(finish(F.sort_array(F.collect_list(F.struct("__s", "__v")))).alias(name))
+    width = max(1.0, ttl_seconds / 8)
+    second = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
+    time, epoch = second(F.col(TS)), second(F.col(EPOCH_BEFORE))
+    entries = stream.df.select(F.col(KEY).alias("__k"), F.floor(time / width).alias("__place"), time.alias("__t"), F.col(SEQ).alias("__s"), (F.lit(1) if entry is None else entry).alias("__v"))
+    oldest = F.least(F.greatest(time - horizon_seconds, F.coalesce(epoch - ttl_seconds, time - horizon_seconds)), time)
+    records = stream.df.select(KEY, SEQ, time.alias("__time"), epoch.alias("__epoch"), F.explode(F.sequence(F.floor(oldest / width), F.floor((time + slack_seconds) / width))).alias("__near"))
+    alive = (F.col("__s") == F.col(SEQ)) | F.col("__epoch").isNull() | (F.col("__t") + ttl_seconds > F.col("__epoch"))
+    within = (F.col("__s") <= F.col(SEQ)) & (F.col("__t") >= F.col("__time") - horizon_seconds) & (F.col("__t") <= F.col("__time") + slack_seconds)
+    met = records.join(entries, F.col(KEY).eqNullSafe(F.col("__k")) & (F.col("__near") == F.col("__place")) & within & alive)
+    found = met.groupBy(F.col(SEQ).alias("__of")).agg(*[f(F.col("__v"), F.col("__s")).alias(n) for n, f in aggregates.items()])
+    return replace(stream, df=stream.df.join(found, F.col(SEQ) == F.col("__of")).drop("__of"))

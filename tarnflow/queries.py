@@ -258,8 +258,7 @@ def monthly_orders(spark, sf_dir):
 def ttl_count(spark, sf_dir):
     timed = _events(spark, sf_dir, False, "event_id", "ts", "event_type").key_local(F.col("event_type")).assign_timestamps(F.col("ts")).stream
     stamped = epochs(timed, F.col(TS))
-    live = stamped.ttl_window(_hours(6), 86_400, 0, F.lit(1))
-    return live.select("event_id", F.col("live").cast("long").alias("live"))
+    return stamped.ttl_window(6 * 3600, 86_400, live=lambda entry, arrival: F.count(entry)).df.select("event_id", "live")
 
 
 def ttl_running_total(spark, sf_dir):

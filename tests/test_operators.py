@@ -212,6 +212,14 @@ def test_ttl_entries_expire(spark):
     assert values(stamped.ttl_fold(2, step, "value string")) == ["foo", "foo|bar", "foo|bar|hello", "bar|hello|world", "hello|world|baz"]
 
 
+def test_ttl_window_says_the_same_in_columns(spark):
+    stream = from_iterable(spark, ["foo", "bar", "hello", "world", "baz"], "value string").key_local(F.lit(True))
+    stamped = ops.epochs(stream.assign_timestamps(F.col(SEQ)).stream, F.col(TS))
+    joined = lambda entry, arrival: F.concat_ws("|", F.transform(F.sort_array(F.collect_list(F.struct(arrival, entry))), lambda e: e["__v"]))
+    out = stamped.ttl_window(2, 100, entry=F.col("value"), live=joined)
+    assert values(out, "live") == ["foo", "foo|bar", "foo|bar|hello", "bar|hello|world", "hello|world|baz"]
+
+
 def test_ttl_without_epochs_keeps_all(spark):
     stream = from_iterable(spark, range(100)).key_local(F.col("value") % 2)
     stamped = ops.epochs(stream.assign_timestamps(F.col("value")).stream, F.lit(None).cast("long"))
