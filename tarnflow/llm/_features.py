@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +13,27 @@ from ._text import Words, mix64
 PART_BYTES, PART_TEXTS = 1 << 20, 256  # texts are handled in parts of about this size, which bounds memory
 
 
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library, which has no such call
+    _malloc_trim = None
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system.  Workers live on after a task, and what their allocators hold back counts
+    against the executor while the next stage runs."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
 def parts(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Consecutive texts, of about PART_BYTES together and PART_TEXTS at most."""
+    """Consecutive texts, of about PART_BYTES together and PART_TEXTS at most; releases memory after the last."""
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -28,6 +43,7 @@ def parts(texts: list[bytes]) -> Iterator[list[bytes]]:
             held, size = [], 0
     if held:
         yield held
+    release_memory()
 
 
 def character_counts(texts: list[bytes], orders: tuple[int, ...], buckets: int) -> np.ndarray:

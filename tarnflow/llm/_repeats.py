@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._features import parts
+from ._features import parts, release_memory
 from ._tables import keyed, written
 from ._text import Words, byte_grams, grams, mix64, window_anchor
 
@@ -145,6 +145,7 @@ def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schem
                         out = []
                 if out:
                     yield _piece_batch(out)
+                release_memory()
 
         # All columns are asked for, so that this and the last step read the same exchange of the texts.
         some = known.where(F.exists("firsts", lambda f: f.kind.between(lowest, highest)))
@@ -190,6 +191,7 @@ def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schem
                 symbols = frame.split((text or "").encode())
                 out.append(cut(doc_id, text, symbols, _spans(len(symbols), frame.window, places, marks, runs, keep_first)))
             made = pa.RecordBatch.from_pylist(out, schema=arrow_schema)
+            release_memory()
             yield pa.RecordBatch.from_arrays([*made.columns, *(batch.column(c) for c in rest)], [*made.schema.names, *rest])
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes that Spark hands to Python at once.  Spark's own default is 10,000 rows, whatever their size: of long
+#: texts that is too much for an executor's memory, once on either side.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless they are smaller already.  Every operator calls this."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or (only where that is unset, as in
     tests on one machine) a temporary folder."""
@@ -32,6 +45,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tarnflow/" in path:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, bool]:
     """doc (a unique long in the order of the ids), id, text; and whether doc is the id itself (NULL_ID where that is null).
 
@@ -39,6 +62,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> t
     numbered in order of id and text, and written, so that the numbers stay.  With carry, the other columns come along as
     a struct, rest.
     """
+    bound_batches(docs.sparkSession)
     others = [F.struct(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]).alias("rest")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *others)
     key = F.coalesce("id", F.lit(NULL_ID))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._features import parts
+from ._tables import bound_batches
 from ._text import Words, grams
 
 ERROR_PERCENT, EXACT_WORDS = 15, 8
@@ -127,6 +128,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, first_word, end_word: which documents hold which items, and where."""
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, distance int, first_word long, end_word long"
 
     def searcher(shared):
@@ -165,6 +167,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
 
         return run
 
+    bound_batches(docs.sparkSession)
     for index in _blocks(items, item_col, item_text_col):
         docs = docs.mapInArrow(filterer(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return docs

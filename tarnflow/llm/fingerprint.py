@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._features import PART_BYTES, PART_TEXTS
+from ._features import PART_BYTES, PART_TEXTS, release_memory
+from ._tables import bound_batches
 from ._text import mix64
 
 PIECE_CHARS = 64
@@ -192,6 +193,7 @@ def _compared(pairs: list[tuple[int, str, str]]) -> pa.RecordBatch:
     for t in (*own, *following):
         every.setdefault(t, len(every))
     texts, changes = Texts(list(every)), Texts(changed)
+    release_memory()
     mine = texts.rows(np.array([every[t] for t in own]))
     theirs = texts.rows(np.array([every[t] for t in following]))
     columns = {
@@ -209,6 +211,7 @@ def _compared(pairs: list[tuple[int, str, str]]) -> pa.RecordBatch:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document: its fingerprint, that of its edited text, and their likeness to each other and to the next."""
     spark = docs.sparkSession
+    bound_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(_FIRST))

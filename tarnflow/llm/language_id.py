@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._features import character_counts, parts, texts_of
+from ._tables import bound_batches
 
 BUCKETS = 4096
 ORDERS = (1, 2, 3)
@@ -100,6 +101,7 @@ def fit(counts: np.ndarray, labels: list[str], epochs: int = 200, rate: float =
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Fits a model on a bounded sample of docs, the same for the same rows whatever their order."""
+    bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("draw"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
@@ -126,6 +128,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs (without the text, unless keep_text) with lang_pred, score (the chosen language's probability) and ambiguous."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     out = [c for c in columns if keep_text or c != text_col]

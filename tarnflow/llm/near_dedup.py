@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._features import parts
+from ._features import parts, release_memory
 from ._tables import NULL_ID, keyed, written
 from ._text import Words, grams, mix64
 from .components import components
@@ -164,6 +164,7 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
                     both = int((every[1:] == every[:-1]).sum())
                     good.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+                release_memory()
 
         with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
         return with_a.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")

@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._features import release_memory
+from ._tables import bound_batches, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -132,6 +133,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 for piece, (start, length) in enumerate(pieces(len(ids), capacity)):
                     member = (doc_id, piece, start, length, zlib.crc32(ids[start : start + length].tobytes()), 0)
                     (full if length == capacity else items).append((length, [member]))
+            release_memory()
             if full:
                 yield _batch([(node, node << 24 | made + n, False, length, members) for n, (length, members) in enumerate(full)])
                 made += len(full)
@@ -142,6 +144,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         if items:
             yield _batch(pack_node(items, 0, node, made, False, capacity))
 
+    bound_batches(docs.sparkSession)
     done = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(local, _BINS), "packing-0")
     nodes = (done.agg(F.max("node")).first()[0] or 0) + 1
     results, level = [done.where("not open")], 0

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._features import SubwordFeatures, parts, texts_of
+from ._tables import bound_batches
 
 BUCKETS = 1 << 16
 ORDERS = (3, 4)
@@ -80,6 +81,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: np
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Model:
     """Fits a model on a bounded sample of the labelled docs, the same for the same rows whatever their order."""
+    bound_batches(docs.sparkSession)
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col).alias("draw"))
     sizes = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     if not sizes:
@@ -123,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs, without the text, with score (the probability of label 1) and predicted (1 if it reaches the threshold)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.collapsed())
     columns = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
 

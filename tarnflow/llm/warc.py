@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import bound_batches
+
 SKIPPABLE_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 1 << 16
 #: The dictionary is built from the first records of an archive, up to this much of them; this bounds memory, and has no
@@ -129,6 +131,7 @@ def read_archive(source, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 def with_targets(pages: DataFrame, id_col: str, payload_col: str, min_revisit: int = 0) -> DataFrame:
     """pages with payload, payload_bytes, digest (hex), and first_id: the id of the response that holds the payload."""
+    bound_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     pages = pages.withColumns({"__payload": payload, "__digest": F.sha1(payload)})
     firsts = pages.select("__digest", id_col).groupBy("__digest").agg(F.min(id_col).alias("__first"), F.count("*").alias("__copies"))
@@ -151,6 +154,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_c
             size = out.tell()
             out.close()
             target = f"{stem}-{len(made):04d}.warc.zst"
+            if fs.get_file_info(target).type == pafs.FileType.File:  # of an earlier attempt; not every store replaces files
+                fs.delete_file(target)
             fs.move(f"{target}.{attempt}", target)
             made.append((target, n, size))
 
