@@ -33,7 +33,7 @@ from ._features import PART_BYTES, PART_TEXTS, release_memory
 from ._tables import bound_batches
 from ._text import mix64
 
-PIECE_CHARS = 64
+PIECE_CHARS = 32
 CELLS, GROWTH = 24, 4
 _SALTS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))  # one for each subtable
 _CHECK = np.uint64(0x082EFA98EC4E6C89)
