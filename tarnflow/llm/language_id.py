@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._features import character_counts, parts, texts_of
+from ._features import character_counts, parts, release_memory, texts_of
 from ._tables import bound_batches
 
 BUCKETS = 4096
 ORDERS = (1, 2, 3)
-SAMPLE_PER_LANGUAGE = 800
+SAMPLE_PER_LANGUAGE = 500
 MAX_LANGUAGES = 256
 AMBIGUOUS_MARGIN = 0.1  # of the probability of the best and the second-best codeword
 _LETTER = regex.compile(r"\p{L}")
@@ -123,7 +123,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     for r in drawn.mapInArrow(count, "lang string, draw long, counts binary").toLocalIterator():
         held.setdefault(r["lang"], []).append((r["draw"], bytes(r["counts"])))
     rows = [(lang, c) for lang in sorted(held) for _, c in sorted(held[lang])[:SAMPLE_PER_LANGUAGE]]
-    return fit(np.array([np.frombuffer(c, dtype="<u2") for _, c in rows]).reshape(len(rows), BUCKETS), [lang for lang, _ in rows])
+    held.clear()
+    model = fit(np.array([np.frombuffer(c, dtype="<u2") for _, c in rows]).reshape(len(rows), BUCKETS), [lang for lang, _ in rows])
+    release_memory()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._features import SubwordFeatures, parts, texts_of
+from ._features import SubwordFeatures, parts, release_memory, texts_of
 from ._tables import bound_batches
 
 BUCKETS = 1 << 16
@@ -120,7 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
                 rows.append((np.frombuffer(raw, dtype="<i4", count=n), np.frombuffer(raw, dtype="<f4", offset=4 * n)))
                 labels_of.append(label)
     prior = np.array([sizes.get(0, 0), sizes.get(1, 0)], dtype=np.float64)
-    return fit(rows, np.array(labels_of, dtype=np.int64), np.maximum(prior, 1) / prior.sum())
+    held.clear()
+    model = fit(rows, np.array(labels_of, dtype=np.int64), np.maximum(prior, 1) / prior.sum())
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
