@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..plans.scan import Scan, numbered, scan
@@ -31,29 +32,29 @@ def fold(stream: Stream, function: Callable[[object, dict, object], tuple[dict |
     what a key still holds.  A key's records are streamed through its task batch by batch; only its state is held.
     """
     stream.need(KEY, SEQ)
-    rest = [c for c in stream.df.columns if c != KEY]
+    returned = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(returned)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = object()
         key, state = nothing, None
-        out: list[dict] = []
         for part in parts:
-            for record in part.to_dict("records"):
+            out: list[dict] = []
+            for record in part.to_pylist():
                 own = record[KEY]
-                if key is nothing or not (own == key or own is None and key is None):
-                    if key is not nothing and flush is not None and state is not None and (last := flush(key, state)) is not None:
+                if key is nothing or own != key:
+                    if flush is not None and state is not None and (last := flush(key, state)) is not None:
                         out.append(last)
                     key, state = own, None
                 result, state = function(key, record, default() if state is None else state)
                 if result is not None:
                     out.append(result)
             if out:
-                yield pd.DataFrame(out)
-                out = []
-        if key is not nothing and flush is not None and state is not None and (last := flush(key, state)) is not None:
-            yield pd.DataFrame([last])
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        if flush is not None and state is not None and (last := flush(key, state)) is not None:
+            yield pa.RecordBatch.from_pylist([last], schema=arrow)
 
-    return replace(stream, df=stream.df.select(KEY, *rest).repartition(KEY).sortWithinPartitions(KEY, SEQ).mapInPandas(run, schema))
+    return replace(stream, df=stream.df.repartition(KEY).sortWithinPartitions(KEY, SEQ).mapInArrow(run, returned))
 
 
 def stateful_map(stream: Stream, function: Callable, schema: str | StructType, default: Callable[[], object] = lambda: None) -> Stream:

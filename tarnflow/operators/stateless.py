@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.context import OperatorContext, operator_context
 from ..stream import EPOCH, EPOCH_BEFORE, KEY, RANGE, SEQ, TS, Stream
 
 _ENVELOPE = (KEY, TS, SEQ, EPOCH_BEFORE, EPOCH, RANGE)
@@ -52,6 +54,22 @@ def inspect(stream: Stream, observation: Observation | str, *metrics: Column) ->
     return replace(stream, df=stream.df.observe(observation, *(metrics or (F.count(F.lit(1)).alias("records"),))))
 
 
+def inspect_each(stream: Stream, function: Callable[[dict, OperatorContext], None]) -> Stream:
+    """Calls a Python function with each record, on the executors, and passes all on unchanged.
+
+    A retried task calls it again, as does each action; for counts use inspect.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = operator_context()
+        for part in parts:
+            for record in part.to_pylist():
+                function(record, context)
+            yield part
+
+    return replace(stream, df=stream.df.mapInArrow(run, stream.df.schema))
+
+
 def stateless_op(stream: Stream, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> Stream:
     """Any number of records for each, by a Python function over Arrow batches, for what columns can't express.
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from ..plans.scan import Scan, scan
@@ -45,19 +46,20 @@ class NeedsEpochs:
         kind = self.stream.df.schema[TS].dataType
         schema = StructType([*self.stream.df.schema.fields, StructField(EPOCH_BEFORE, kind), StructField(EPOCH, kind)])
 
-        def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrow = to_arrow_schema(schema)
+
+        def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             epoch = None
             for part in parts:
-                before, after = [], []
-                for record in part.to_dict("records"):
-                    before.append(epoch)
-                    candidate = generator(record, epoch)
+                out = []
+                for record in part.to_pylist():
+                    before, candidate = epoch, generator(record, epoch)
                     if candidate is not None and (epoch is None or candidate > epoch):
                         epoch = candidate
-                    after.append(epoch)
-                yield part.assign(**{EPOCH_BEFORE: pd.array(before, dtype=object), EPOCH: pd.array(after, dtype=object)})
+                    out.append(record | {EPOCH_BEFORE: before, EPOCH: epoch})
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-        df = self.stream.df.repartition(1).sortWithinPartitions(SEQ).mapInPandas(fold, schema)
+        df = self.stream.df.repartition(1).sortWithinPartitions(SEQ).mapInArrow(fold, schema)
         late = F.coalesce(F.col(TS) <= F.col(EPOCH_BEFORE), F.lit(False))
         return replace(self.stream, df=df.filter(~late)), replace(self.stream, df=df.filter(late))
 

@@ -38,7 +38,7 @@ def ttl_fold(stream: Stream, ttl, function: Callable[[object, dict, dict], tuple
 
     def step(key, record, entries):
         epoch = record[EPOCH_BEFORE]
-        if epoch is not None and epoch == epoch:  # not NaN
+        if epoch is not None:
             entries = {k: e for k, e in entries.items() if e[1] + ttl > epoch}
         result, entries = function(key, record, entries)
         return result, entries or None

@@ -56,6 +56,18 @@ def test_inspect_changes_nothing_and_measures(spark):
     assert seen.get == {"total": 10}
 
 
+def test_inspect_each_record(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def note(record, context):
+        with open(f"{folder}/{context.worker_id}", "a") as f:
+            f.write(f"{record['value']}\n")
+
+    stream = from_iterable(spark, range(9)).inspect_each(note)
+    assert sorted(r["value"] for r in stream.df.collect()) == list(range(9))
+    assert sorted(int(x) for p in tmp_path.iterdir() for x in p.read_text().split()) == list(range(9))
+
+
 def test_split_routes_to_several_or_none(spark):
     numbers = from_iterable(spark, range(101))
     even, every = numbers.const_split(F.col("value") % 2 == 0, F.lit(True))
@@ -105,6 +117,12 @@ def test_state_can_be_dropped(spark):
     assert values(words.stateful_map(step, "value string", str)) == ["foo", "foobar", "hello", "helloworld", "baz"]
 
 
+def test_folds_see_nulls_and_large_integers_as_they_are(spark):
+    stream = from_iterable(spark, [(1, 2**62 + 1), (1, None), (1, 2**62 + 3)], "k long, value long").key_local(F.struct("k"))
+    out = stream.stateful_map(lambda key, record, state: ({"value": record["value"], "nulls": state + (record["value"] is None), "k": key["k"]}, state + (record["value"] is None)), "value long, nulls int, k long", int)
+    assert [(r["value"], r["nulls"], r["k"]) for r in out.df.orderBy(SEQ).collect()] == [(2**62 + 1, 0, 1), (None, 1, 1), (2**62 + 3, 1, 1)]
+
+
 def test_fold_flushes_what_is_left(spark):
     def step(key, record, state):
         state = [*state, record["value"]]
