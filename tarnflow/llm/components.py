@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes that links join; a component is known by its least node.
 
-    Large-star and small-star steps in turn, each an aggregation by minimum (combined before its shuffle) and a join that
-    adaptive execution may split where a node has very many links.  Links that tell nothing are dropped on the way; the
+    Large-star and small-star steps in turn, each an aggregation by minimum (combined before its shuffle), written, and a
+    join with it that adaptive execution splits where a node has very many links.  Links that tell nothing are dropped on the way; the
     number of rounds grows with the logarithm of the longest path.  Null ends and loops are ignored.
     """
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v").distinct(), "links")
     mark = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         # Large star: neighbours above a node are linked with the node's least neighbour instead.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # Small star: a node and its neighbours below it are linked with the least of these.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        old, edges = edges, written(small.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        discard(old, least, large, low)
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             break

@@ -126,7 +126,9 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
 
     signed = written(rows.select("doc", "text").mapInArrow(sign, "doc long not null, n long, low long, high long, signature binary, histogram binary"), "signatures")
     # Classes: equal sets have equal sizes and equal 128-bit sums of hashes.
-    classes = signed.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc").alias("rep"))
+    # Aggregates that are joined with what they come from are written first: then the join has an exchange on either
+    # side, which adaptive execution splits where a class or a bucket is large.
+    classes = written(signed.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc").alias("rep")), "classes")
     member = signed.select("doc", "n", "low", "high").join(classes, ["n", "low", "high"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc")).join(signed, "doc")
 
@@ -136,8 +138,8 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("doc")), SYMBOLS), _LONG), pa.array(chunk_keys(signature).ravel().view(np.int64), _LONG)], ["rep", "key"])
 
     keys = reps.select("doc", "signature").mapInArrow(index, "rep long not null, key long not null")
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("size")).where("size > 1")
-    shared = written(keys.join(buckets, "key"), "buckets")  # key, rep, least, size
+    buckets = written(keys.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"), "buckets")
+    shared = written(keys.join(buckets, "key"), "bucket-members")  # key, rep, least
 
     # The texts of all classes that share a key with another, as sets; written once, read by both rounds.
     involved = shared.select("rep").distinct()
@@ -177,7 +179,7 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
     # Buckets whose members are in several components.
     placed = shared.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     spread = placed.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.count("*").alias("size"))
-    spread = spread.where("lowest <> highest").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    spread = written(spread.where("lowest <> highest").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "spread")
     open_rows = placed.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A bucket of several blocks: each row goes to the pairs of its own block and every other one.
     grid = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("piece", F.struct(F.least("block", "other"), F.greatest("block", "other")))
