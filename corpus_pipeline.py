@@ -21,8 +21,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is undetermined: no letters, or two languages as likely as each other."""
     model = language_id.train(docs)
-    judged = language_id.predict(docs, model)
-    return judged.where("lang_pred <> 'und' and not ambiguous").select(*docs.columns)
+    # Under names of their own, so that a column that is called like one of the prediction's stays as it is.
+    own = {c: "text" if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)}
+    judged = language_id.predict(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]), model)
+    return judged.where("lang_pred <> 'und' and not ambiguous").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Takes passages of 200 bytes and more that occur more than once out of the texts; documents stay."""
     cut = suffix_dedup.remove_repeated(docs, carry=True)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return cut.select(*[(columns[c] if c in columns else F.col(f"rest.{c}")).alias(c) for c in docs.columns])
+    return cut.select(*[(columns[c] if c in columns else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

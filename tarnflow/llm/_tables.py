@@ -63,7 +63,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> t
     a struct, rest.
     """
     bound_batches(docs.sparkSession)
-    others = [F.struct(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]).alias("rest")] if carry else []
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]).alias("rest")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *others)
     key = F.coalesce("id", F.lit(NULL_ID))
     rows = rows.withColumn("doc", key)

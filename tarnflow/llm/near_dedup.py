@@ -106,7 +106,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
     rows, plain = keyed(docs, id_col, text_col, carry=True)
     stay = _judged(rows, plain, shingle, percent).where("kept").select("doc")
     own = {id_col: "id", text_col: "text"}
-    return rows.join(stay, "doc", "left_semi").select(*[F.col(own.get(c, f"rest.{c}")).alias(c) for c in docs.columns])
+    return rows.join(stay, "doc", "left_semi").select(*[F.col(own.get(c, f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFrame:

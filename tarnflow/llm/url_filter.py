@@ -63,8 +63,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     )
     hits = expressions.join(rules, F.substring("digest", 1, PREFIX_HEX) == F.col("r_prefix")).where("digest = r_digest")
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("__best"))
     return (
         urls.join(best, ["host", "path"], "left")
-        .select(*[c for c in urls.columns], F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        .select(*[c for c in urls.columns], F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
     )

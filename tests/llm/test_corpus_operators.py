@@ -331,7 +331,7 @@ def test_archives_of_short_payloads_are_all_responses(spark, tmp_path):
 
 def test_url_filters(spark):
     urls = ["https://www.Example.com/en/x?q=1", "http://example.com/en/", "http://example.com/en", "http://xexample.com/en/a", "http://a.b.net/es/1#x", "http://net/fr/", "http://net", "ftp://q.org/net/es/", "//example.com/en/", "", None, "http:///en/", "http://example.com?/en/", "http://www.example.com/en/", "http://com/a://b.net/es/"]
-    df = spark.createDataFrame([*enumerate(urls), (0, urls[0]), (None, urls[1])], "page_id long, url string").withColumns({c: F.lit("old") for c in ("host", "rule", "verdict", "suffix", "digest")})
+    df = spark.createDataFrame([*enumerate(urls), (0, urls[0]), (None, urls[1])], "page_id long, url string").withColumns({c: F.lit("old") for c in ("host", "rule", "verdict", "suffix", "digest", "best", "cut")})
     out = url_filter.filter_urls(df, url_filter.rules_table(spark))
 
     def judge(url):

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarnflow.llm import queries
@@ -44,6 +45,15 @@ def test_stages(spark, sf_dir):
     assert {r["doc_id"] for r in out.collect()} == clean
 
 
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    names = ["score", "lang_pred", "ambiguous", "doc", "id", "rest", "kept", "place"]
+    docs = spark.read.parquet(f"{sf_dir[0]}/documents.parquet").where("doc_id < 20").withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir[0])
+        assert out.columns == docs.columns, name
+        assert all(tuple(r)[-len(names) :] == tuple(names) for r in out.collect()), name
+
+
 def test_stages_take_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir[0]}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
