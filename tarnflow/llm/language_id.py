@@ -33,7 +33,7 @@ BUCKETS = 4096
 ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 500
 MAX_LANGUAGES = 256
-AMBIGUOUS_MARGIN = 0.1  # of the probability of the best and the second-best codeword
+AMBIGUOUS_MARGIN = 0.05  # of the probability of the best and the second-best codeword
 _LETTER = regex.compile(r"\p{L}")
 
 
