@@ -1,13 +1,16 @@
 """Best-fit packing of documents into sequences, by hierarchical residual packing.
 
-Every task tokenizes its documents and packs them on the spot, longest first, each into the fullest sequence that still
-has room.  Sequences that are nearly full are done.  Of the others, a task hands the emptiest on, HANDED_ON of them at
-most; FAN_IN tasks' leftovers meet in one task of the next round, where they are packed again as if each were one
-document, and so on until one task remains.  A round thus reads FAN_IN * HANDED_ON rows a task at most, whatever
-the size of the corpus, and the number of rounds is the logarithm of the number of tasks.  Sequences that are not
-handed on are results as they are: nothing is dropped.
+Every document is tokenized once, where it is read, and cut into pieces.  Pieces that fill a sequence are done.  The
+others are dealt evenly over tasks of about NODE_ITEMS pieces, whatever partition they come from, so that each task sees
+the lengths of the whole corpus.  A task packs its pieces longest first, each into the fullest sequence that still has
+room, and settles the sequences that have become full to the last token.  The pieces of all others are its residual.
 
-Each round is written to the shared folder, so tokens are made once and a lost executor costs one round's tasks.
+Best fit asks for nothing but lengths, and there are fewer of them than tokens in a sequence.  Tasks therefore hand on how
+many pieces of each length their residual has; the sums are packed once, all the pieces of a length at a time, with
+the result that best fit has for the residual of the whole corpus, piece by piece.  What is gathered is one row a length,
+whatever the size of the corpus.  A piece finds its sequence by its number among all pieces of its length.
+
+Pieces and residuals are written to the shared folder, so tokens are made once and a lost executor costs one stage's tasks.
 
 Defined cases.  A null text is empty; an empty document is its end token.  Repeated rows are packed each for itself.  A
 document longer than a sequence is cut into full sequences, and its first piece is what is left over; documents that
@@ -18,12 +21,13 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._features import release_memory
@@ -31,14 +35,12 @@ from ._tables import bound_batches, written
 
 CAPACITY = 1024
 END_ID = 2
-NEARLY_FULL = 8  # room that is not worth another round
-HANDED_ON, FAN_IN = 64, 4
-BLOCK_ITEMS = 50_000  # items that a task packs at once
+NODE_ITEMS = 10_000  # pieces that a task packs at once
 #: Fixed value: the published pattern that splits texts before byte-level pair encoding.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
-_BINS = "node long, sequence_id long, open boolean, fill int, members array<struct<doc_id:long, piece:int, start:long, length:long, ids_crc32:long, offset:long>>"
+_PIECES = "source long, number long, doc_id long, piece int, start long, length long, ids_crc32 long"
+_RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _encoders: dict[str, object] = {}
 
 
@@ -80,38 +82,68 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack_node(items: list[tuple[int, list[tuple]]], level: int, node: int, begin: int, last: bool, capacity: int) -> list[tuple]:
-    """Rows (node, sequence_id, open, fill, members) of one task; items: (size, members), each a sequence to be."""
-    packed = []
-    for chosen in best_fit([size for size, _ in items], capacity):
-        members, fill = [], 0
-        for i in chosen:
-            members += [(*m[:5], m[5] + fill) for m in items[i][1]]
-            fill += items[i][0]
-        packed.append((fill, members))
-    packed.sort(key=lambda b: b[0])
-    rows = []
-    for n, (fill, members) in enumerate(packed):
-        is_open = not last and n < HANDED_ON and fill <= capacity - NEARLY_FULL
-        rows.append((node, level << 56 | node << 24 | begin + n, is_open, fill, members))
-    return rows
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    node, sequence, is_open, fill, members = zip(*rows, strict=True)
-    named = [[dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "offset"), m, strict=True)) for m in ms] for ms in members]
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sequence, pa.int64()), pa.array(is_open, pa.bool_()), pa.array(fill, pa.int32()), pa.array(named, pa.list_(_MEMBER))], ["node", "sequence_id", "open", "fill", "members"])
-
-
-def _merger(level: int, last: bool, capacity: int):
-    """The function that packs what FAN_IN tasks have handed on."""
-
-    def merge(key, bins):
-        items = [(fill, [tuple(m.values()) for m in members]) for fill, members in zip(bins.column("fill").to_pylist(), bins.column("members").to_pylist(), strict=True)]
-        items.sort(key=lambda b: (b[0], [(m[0] is not None, m[0] or 0, *m[1:]) for m in b[1]]))  # the same in any attempt
-        return pa.Table.from_batches([_batch(pack_node(items, level, key[0].as_py(), 0, last, capacity))])
-
-    return merge
+def best_fit_counts(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """best_fit of counts[size] items of each size: runs (size, first item, first bin, items a bin, offset in the bin), and the number of bins.
+
+    The items of a run are the next of its size, and fill bins that follow each other.  A bin that is the fullest with
+    room for an item stays so for the next of that size, so bins of the same room can be filled together.
+    """
+    with_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # first bin and number of bins
+    occupied, bins, runs = 0, 0, []
+
+    def put(room: int, first: int, n: int) -> None:
+        nonlocal occupied
+        if n:
+            with_room[room].append((first, n))
+            occupied |= 1 << room
+
+    for size in sorted(counts, reverse=True):
+        item, left = 0, counts[size]
+        while left:
+            fitting = occupied >> size
+            if fitting:
+                room = size + (fitting & -fitting).bit_length() - 1
+                first, n = with_room[room].pop()
+                if not with_room[room]:
+                    occupied ^= 1 << room
+            else:
+                room, first, n = capacity, bins, -(-left // (capacity // size))
+                bins += n
+            each = room // size
+            whole = min(n, left // each)
+            if whole:
+                runs.append((size, item, first, each, capacity - room))
+                put(room - each * size, first, whole)
+                item, left = item + whole * each, left - whole * each
+            first, n = first + whole, n - whole
+            if n and left:  # fewer than a bin takes
+                runs.append((size, item, first, left, capacity - room))
+                put(room - left * size, first, 1)
+                first, n, left = first + 1, n - 1, 0
+            put(room, first, n)
+    return runs, bins
+
+
+def _packer(capacity: int):
+    """The function that packs the pieces of one task: full sequences have an id, the residual a rank among its length."""
+
+    def local(key, held):
+        sizes, node = held.column("length").to_pylist(), key[0].as_py()
+        sequence, offset, rank = [None] * len(sizes), [0] * len(sizes), [None] * len(sizes)
+        seen: Counter = Counter()
+        for n, chosen in enumerate(best_fit(sizes, capacity)):
+            at, full = 0, sum(sizes[i] for i in chosen) == capacity
+            for i in chosen:
+                if full:
+                    sequence[i], offset[i] = 1 << 56 | node << 32 | n, at
+                    at += sizes[i]
+                else:
+                    rank[i] = seen[sizes[i]]
+                    seen[sizes[i]] += 1
+        out = {c: held.column(c) for c in ("node", "doc_id", "piece", "start", "length", "ids_crc32")}
+        return pa.table(out | {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64()), "rank": pa.array(rank, pa.int64())})
+
+    return local
 
 
 def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -123,37 +155,45 @@ def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, node, made = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        items: list[tuple[int, list[tuple]]] = []
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, source, made = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            full = []
+            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode.encode(text or "", allowed_special="all"), end_id).astype("<u4")
                 for piece, (start, length) in enumerate(pieces(len(ids), capacity)):
-                    member = (doc_id, piece, start, length, zlib.crc32(ids[start : start + length].tobytes()), 0)
-                    (full if length == capacity else items).append((length, [member]))
+                    rows.append((source, made + len(rows), doc_id, piece, start, length, zlib.crc32(ids[start : start + length].tobytes())))
             release_memory()
-            if full:
-                yield _batch([(node, node << 24 | made + n, False, length, members) for n, (length, members) in enumerate(full)])
-                made += len(full)
-            if len(items) >= BLOCK_ITEMS:
-                rows = pack_node(items, 0, node, made, False, capacity)
-                made, items = made + len(rows), [(r[3], r[4]) for r in rows if r[2]]
-                yield _batch([r for r in rows if not r[2]])
-        if items:
-            yield _batch(pack_node(items, 0, node, made, False, capacity))
-
-    bound_batches(docs.sparkSession)
-    done = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(local, _BINS), "packing-0")
-    nodes = (done.agg(F.max("node")).first()[0] or 0) + 1
-    results, level = [done.where("not open")], 0
-    while nodes > 1 or level == 0:
-        level, nodes = level + 1, (nodes + FAN_IN - 1) // FAN_IN
-        opened = done.where("open").select((F.col("node") / FAN_IN).cast("long").alias("node"), "fill", "members")
-        done = written(opened.groupBy("node").applyInArrow(_merger(level, nodes == 1, capacity), _BINS), f"packing-{level}")
-        results.append(done.where("not open"))
-    every = results[0]
-    for more in results[1:]:
-        every = every.unionAll(more)
-    return every.select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+            made += len(rows)
+            if rows:
+                columns = zip(("source", "number", "doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows, strict=True), strict=True)
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "piece" else pa.int64()) for c, v in columns})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, item, first, each, offset = shared.value
+        keys = size << 40 | item
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            run = np.searchsorted(keys, length << 40 | rank, side="right") - 1
+            turn = rank - item[run]
+            found = [2 << 56 | first[run] + turn // each[run], offset[run] + turn % each[run] * length]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(f, pa.int64()) for f in found)], [*kept, "sequence_id", "offset"])
+
+    spark, kept = docs.sparkSession, ["doc_id", "piece", "start", "length", "ids_crc32"]
+    bound_batches(spark)
+    made = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, _PIECES), "packing-pieces")
+    whole = made.where(F.col("length") == capacity).select(*kept, F.shiftleft("source", 32).bitwiseOR(F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    parts = made.where(F.col("length") < capacity)
+    nodes = -(-parts.count() // NODE_ITEMS)
+    if not nodes:
+        return whole
+    dealt = parts.withColumn("node", F.pmod(F.xxhash64("source", "number"), F.lit(nodes)))
+    packed = written(dealt.groupBy("node").applyInArrow(_packer(capacity), f"node long, {_RESULT}, rank long"), "packing-local")
+    settled, residual = packed.where("rank is null").select(*kept, "sequence_id", "offset"), packed.where("rank is not null")
+    # How many pieces of each length the tasks before a task hand on, and how many there are in all.
+    counts = written(residual.groupBy("node", "length").count(), "packing-counts")
+    before = counts.select(F.col("node").alias("of_node"), F.col("length").alias("of_length"), F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    runs, _ = best_fit_counts({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
+    shared = spark.sparkContext.broadcast(tuple(np.array(sorted(runs), dtype=np.int64).reshape(-1, 5).T.copy()))
+    ranked = residual.join(before, (F.col("node") == F.col("of_node")) & (F.col("length") == F.col("of_length"))).select(*kept, (F.col("rank") + F.col("before")).alias("rank"))
+    return whole.unionAll(settled).unionAll(ranked.mapInArrow(place, _RESULT))

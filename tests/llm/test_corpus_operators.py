@@ -302,6 +302,22 @@ def test_packing(spark, corpus):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_packing_of_partitions_of_like_lengths(spark):
+    import public_tokenizers
+
+    draw = random.Random(6)
+    sizes = [draw.randint(560, 640) for _ in range(2000)] + [600] * 2000 + [draw.randint(300, 400) for _ in range(4000)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, " a" * (n - 1)) for i, n in enumerate(sizes)], 8), DOCS)
+    out = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in out) == list(enumerate(sizes))
+    taken = {}
+    for r in sorted(out, key=lambda r: r["offset"]):
+        assert r["offset"] == taken.get(r["sequence_id"], 0)
+        taken[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(taken.values()) <= 1024
+    assert len(taken) <= len(packing.best_fit(sizes, 1024)) * 1.002
+
+
 def test_archives(spark, tmp_path):
     pages = [(1, "http://a/", "<p>x</p>"), (2, "http://b/\nX", "<p>x</p>"), (3, None, None), (4, "http://c/", ""), (5, "u", "é" * 50_000), (6, "u", "unique"), (None, "n", "unique"), (7, "v", "unique")]
     df = with_clashes(spark.createDataFrame(pages, "page_id long, url string, html string")).repartition(3)

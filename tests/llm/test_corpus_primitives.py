@@ -3,6 +3,7 @@
 import io
 import random
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,6 +102,29 @@ def test_best_fit():
     assert packing.pieces(2048, 1024) == [(0, 1024), (1024, 1024)] and packing.pieces(1, 1024) == [(0, 1)]
 
 
+def test_best_fit_of_counts_is_best_fit():
+    draw = random.Random(2)
+    for capacity in (1, 7, 30, 100):
+        for _ in range(30):
+            sizes = [draw.randint(1, capacity) for _ in range(draw.randint(0, 300))]
+            sizes += [draw.randint(1, capacity)] * draw.choice([0, 1, 500])
+            runs, n = packing.best_fit_counts(Counter(sizes), capacity)
+            bins = [[] for _ in range(n)]
+            for size in set(sizes):
+                mine = sorted(r[1:] for r in runs if r[0] == size)
+                for i in range(sizes.count(size)):
+                    item, first, each, offset = [r for r in mine if r[0] <= i][-1]
+                    bins[first + (i - item) // each].append((offset + (i - item) % each * size, size))
+            for b in bins:
+                at = 0
+                for offset, size in sorted(b):
+                    assert offset == at
+                    at += size
+                assert 0 < at <= capacity
+            expected = sorted(sorted(sizes[i] for i in b) for b in packing.best_fit(sizes, capacity))
+            assert sorted(sorted(size for _, size in b) for b in bins) == expected
+
+
 def test_tokens_are_those_of_the_vocabularys_own_library():
     import public_tokenizers
     from tokenizers import Tokenizer
