@@ -19,8 +19,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undetermined: no letters, or two languages as likely as each other."""
+    """Drops documents whose language is undetermined: no letters, or two languages as likely as each other.
+
+    Where no document has a language to learn from, those without letters are all that can be told, and dropped.
+    """
     model = language_id.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     # Under names of their own, so that a column that is called like one of the prediction's stays as it is.
     own = {c: "text" if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)}
     judged = language_id.predict(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]), model)

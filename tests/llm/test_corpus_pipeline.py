@@ -66,6 +66,13 @@ def test_stages_take_nulls_and_repeated_rows(spark, sf_dir):
         assert stage(spark, docs, sf_dir[0]).count() <= 5, name
 
 
+def test_texts_stay_where_no_language_is_known(spark, sf_dir):
+    texts = ["some words", "пример", "", None, "12 34", "x"]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in enumerate(texts)], COLUMNS)
+    kept = corpus_pipeline.language(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 5]
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
