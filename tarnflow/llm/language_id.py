@@ -5,8 +5,9 @@ hashed runs of bytes.  A text's margins for all bits are held against each codew
 is weighted by how well that bit's classifier did in training, and the codeword of least total loss wins.  Where the
 two best codewords are nearly as good as each other, the text is flagged as ambiguous.
 
-The model is fitted on a bounded sample (SAMPLE_PER_LANGUAGE texts of each language, MAX_LANGUAGES languages); its
-features are counted on the executors, and the driver gets one row of BUCKETS counts for each text of the sample.
+The model is fitted on a bounded sample: SAMPLE_PER_LANGUAGE texts of each language, or fewer of each where there are so
+many languages that the sample would have more than SAMPLE_TEXTS.  Every language is learned; a column of more than
+MAX_LANGUAGES different values is an error, since labels of that many kinds aren't languages.  The sample's features are counted on the executors, and the driver gets one row of BUCKETS counts for each text of the sample.
 Prediction is one pass over the texts without a shuffle; the broadcast model has a fixed size.
 
 Defined cases.  Null texts and texts without any letter are ``und``, with score 0 and not ambiguous.  Rows with a null
@@ -32,7 +33,8 @@ from ._tables import bound_batches
 BUCKETS = 4096
 ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 500
-MAX_LANGUAGES = 256
+SAMPLE_TEXTS = 128_000
+MAX_LANGUAGES = 4096
 AMBIGUOUS_MARGIN = 0.05  # of the probability of the best and the second-best codeword
 _LETTER = regex.compile(r"\p{L}")
 
@@ -83,7 +85,8 @@ def fit(counts: np.ndarray, labels: list[str], epochs: int = 200, rate: float =
     languages = sorted(set(labels))
     code = codewords(len(languages))
     x = normalised(counts)
-    which = np.array([languages.index(y) for y in labels], dtype=np.int64)
+    place = {y: i for i, y in enumerate(languages)}
+    which = np.array([place[y] for y in labels], dtype=np.int64)
     share = (1.0 / np.maximum(np.bincount(which, minlength=len(languages)), 1))[which] / max(1, len(languages)) if labels else np.empty(0)
     target = code[which] if labels else np.empty((0, 1))
     weights, bias = np.zeros((x.shape[1], code.shape[1]), dtype=np.float32), np.zeros(code.shape[1], dtype=np.float32)
@@ -103,11 +106,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """Fits a model on a bounded sample of docs, the same for the same rows whatever their order."""
     bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("draw"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} different values")
     if not sizes:
         return fit(np.zeros((0, BUCKETS)), [])
-    # The drawn share of each language is a little larger than needed; the rows beyond SAMPLE_PER_LANGUAGE are left out below.
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 1.2 * SAMPLE_PER_LANGUAGE / n))])
+    most = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS // len(sizes)))
+    # The drawn share of each language is a little larger than needed, by more where few are needed, so that none is left
+    # without a text; the rows beyond most are left out below.
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, max(1.2 * most, most + 20) / n))])
     drawn = labelled.where(F.pmod("draw", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +129,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     held: dict[str, list[tuple[int, bytes]]] = {}
     for r in drawn.mapInArrow(count, "lang string, draw long, counts binary").toLocalIterator():
         held.setdefault(r["lang"], []).append((r["draw"], bytes(r["counts"])))
-    rows = [(lang, c) for lang in sorted(held) for _, c in sorted(held[lang])[:SAMPLE_PER_LANGUAGE]]
+    rows = [(lang, c) for lang in sorted(held) for _, c in sorted(held[lang])[:most]]
     held.clear()
     model = fit(np.array([np.frombuffer(c, dtype="<u2") for _, c in rows]).reshape(len(rows), BUCKETS), [lang for lang, _ in rows])
     release_memory()

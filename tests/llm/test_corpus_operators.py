@@ -237,6 +237,21 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, one).collect()} == {"und", "aa"}
 
 
+def test_rare_languages_are_learned_too(spark, monkeypatch):
+    # Of 300 languages, each with a word of its own, the last ones have the fewest texts.
+    known = [(1000 * i + n, f"{chr(0x4E00 + i)} " * 9, f"l{i:03}") for i in range(300) for n in range(3 if i < 256 else 2)]
+    df = spark.createDataFrame(known, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert model.languages == sorted({lang for _, _, lang in known})
+    out = language_id.predict(df.select("doc_id", "lang", "text"), model).where("doc_id >= 256000").collect()
+    assert len(out) == 88 and sum(r["lang_pred"] == r["lang"] for r in out) >= 80
+    monkeypatch.setattr(language_id, "SAMPLE_TEXTS", 300)
+    assert len(language_id.train(df).languages) == 300
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 299)
+    with pytest.raises(ValueError, match="299"):
+        language_id.train(df)
+
+
 def test_quality(spark):
     draw = random.Random(8)
     good = [(i, prose(draw, 40)) for i in range(80)]
