@@ -46,23 +46,38 @@ def ttl_fold(stream: Stream, ttl, function: Callable[[object, dict, dict], tuple
     return stateful_map(stream, step, schema, dict)
 
 
-def ttl_window(stream: Stream, ttl_seconds: float, horizon_seconds: float, slack_seconds: float = 0, entry: Column | None = None, **aggregates: Callable[[Column, Column], Column]) -> Stream:
+def ttl_window(stream: Stream, ttl_seconds: float, horizon_seconds: float | None = None, slack_seconds: float | None = None, entry: Column | None = None, **aggregates: Callable[[Column, Column], Column]) -> Stream:
     """Adds aggregates over what is alive of each key's entries at each record, the record's own entry included.
 
-    Of the key's records up to this one, those count that are at most ``horizon_seconds`` older, at most ``slack_seconds``
-    younger, and have not expired.  An aggregate is a function of the entry and its arrival.  Records meet entries by
-    buckets of an eighth of the time to live, from the oldest that may be alive to the youngest: what is compared is in
-    proportion to what is alive, and a hot key's work is spread over its buckets.
+    Of the key's records up to this one, those count that have not expired; with ``horizon_seconds`` only those that are at
+    most so much older than the record, with ``slack_seconds`` only those at most so much younger.  An aggregate is a
+    function of the entry and its arrival.  Records meet entries by buckets of an eighth of the time to live, from the
+    oldest that may be alive to the youngest so far: what is compared is in proportion to what is alive, and a hot key's
+    work is spread over its buckets.  Records before the first epoch meet all of their key's, unless there is a horizon.
     """
     stream.need(KEY, SEQ, TS, EPOCH_BEFORE)
     width = max(1.0, ttl_seconds / 8)
     second = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
     time, epoch = second(F.col(TS)), second(F.col(EPOCH_BEFORE))
+    df = stream.df if RANGE in stream.df.columns else ranges(stream.df, SEQ)
+    df = scan(df, SEQ, {"__youngest": Scan("max", F.col(TS), exclusive=True)}, (KEY,))
     entries = stream.df.select(F.col(KEY).alias("__k"), F.floor(time / width).alias("__place"), time.alias("__t"), F.col(SEQ).alias("__s"), (F.lit(1) if entry is None else entry).alias("__v"))
-    oldest = F.least(F.greatest(time - horizon_seconds, F.coalesce(epoch - ttl_seconds, time - horizon_seconds)), time)
-    records = stream.df.select(KEY, SEQ, time.alias("__time"), epoch.alias("__epoch"), F.explode(F.sequence(F.floor(oldest / width), F.floor((time + slack_seconds) / width))).alias("__near"))
+    oldest, youngest = epoch - ttl_seconds, second(F.col("__youngest"))
+    within = F.col("__s") <= F.col(SEQ)
+    if horizon_seconds is not None:
+        oldest = F.greatest(time - horizon_seconds, oldest)  # the greatest of what is not null
+        within &= F.col("__t") >= F.col("__time") - horizon_seconds
+    if slack_seconds is not None:
+        youngest = F.when(youngest.isNotNull(), F.least(youngest, time + slack_seconds))
+        within &= F.col("__t") <= F.col("__time") + slack_seconds
+    # The own entry's bucket is apart: a late record's can be far from those that may be alive.
+    near = F.array_union(F.array(F.floor(time / width)), F.when(oldest <= youngest, F.sequence(F.floor(oldest / width), F.floor(youngest / width))).otherwise(F.array().cast("array<bigint>")))
     alive = (F.col("__s") == F.col(SEQ)) | F.col("__epoch").isNull() | (F.col("__t") + ttl_seconds > F.col("__epoch"))
-    within = (F.col("__s") <= F.col(SEQ)) & (F.col("__t") >= F.col("__time") - horizon_seconds) & (F.col("__t") <= F.col("__time") + slack_seconds)
-    met = records.join(entries, F.col(KEY).eqNullSafe(F.col("__k")) & (F.col("__near") == F.col("__place")) & within & alive)
+    same = F.col(KEY).eqNullSafe(F.col("__k"))
+    bucketed = df if horizon_seconds is not None else df.where(F.col(EPOCH_BEFORE).isNotNull())
+    met = bucketed.select(KEY, SEQ, time.alias("__time"), epoch.alias("__epoch"), F.explode(near).alias("__near")).join(entries, same & (F.col("__near") == F.col("__place")) & within & alive).select(SEQ, "__v", "__s")
+    if horizon_seconds is None:
+        first = stream.df.where(F.col(EPOCH_BEFORE).isNull()).select(KEY, SEQ, time.alias("__time"))
+        met = met.unionAll(first.join(entries, same & within).select(SEQ, "__v", "__s"))
     found = met.groupBy(F.col(SEQ).alias("__of")).agg(*[f(F.col("__v"), F.col("__s")).alias(n) for n, f in aggregates.items()])
     return replace(stream, df=stream.df.join(found, F.col(SEQ) == F.col("__of")).drop("__of"))

@@ -238,6 +238,20 @@ def test_ttl_window_says_the_same_in_columns(spark):
     assert values(out, "live") == ["foo", "foo|bar", "foo|bar|hello", "bar|hello|world", "hello|world|baz"]
 
 
+@pytest.mark.parametrize("lag", [0, 7, None])
+def test_ttl_window_counts_late_and_old_entries_as_the_fold_does(spark, lag):
+    times = [100, 90, 95, 93, 500, 97, 494, 496, 9000, 495, 501, 8999, 8998, 120, 9001, 9003, 9002]
+    stream = from_iterable(spark, times).key_local(F.col(SEQ) % 2)
+    candidate = F.lit(None).cast("long") if lag is None else F.col(TS) - lag
+    stamped = ops.epochs(stream.assign_timestamps(F.col("value")).stream, candidate)
+
+    def step(key, record, entries):
+        entries = entries | {record[SEQ]: (1, record[TS])}
+        return {"live": len(entries)}, entries
+
+    assert values(stamped.ttl_window(10, live=lambda entry, arrival: F.count(entry)), "live") == values(stamped.ttl_fold(10, step, "live long"), "live")
+
+
 def test_ttl_without_epochs_keeps_all(spark):
     stream = from_iterable(spark, range(100)).key_local(F.col("value") % 2)
     stamped = ops.epochs(stream.assign_timestamps(F.col("value")).stream, F.lit(None).cast("long"))
