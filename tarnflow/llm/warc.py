@@ -19,7 +19,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+import random
 import struct
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -34,9 +37,9 @@ from ._tables import bound_batches
 
 SKIPPABLE_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 1 << 16
-#: The dictionary is built from the first records of an archive, up to this much of them; this bounds memory, and has no
-#: say in what is archived.
-SAMPLE_BYTES = 2 << 20
+#: The dictionary is built from records drawn from the whole archive, up to this much of them, and SAMPLE_RECORD of each; this
+#: bounds memory, and has no say in what is archived.
+SAMPLE_BYTES, SAMPLE_RECORD = 2 << 20, 128 << 10
 ARCHIVE_BYTES = 64 << 20  # payload after which a task begins its next file
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -78,33 +81,34 @@ def build_dictionary(samples: list[bytes]) -> bytes:
 
 
 class ArchiveWriter:
-    """Writes one archive to a binary stream.  The first records are held back until the dictionary is built."""
+    """Writes one archive to a binary stream.  Records wait in a temporary file, which close() reads, until the dictionary is
+    built from a sample of them all."""
 
     def __init__(self, out, level: int = 3):
-        self.out, self.level, self.held, self.held_bytes, self.compressor, self.payload_bytes = out, level, [], 0, None, 0
+        self.out, self.level, self.payload_bytes = out, level, 0
+        self.waiting, self.lengths = tempfile.TemporaryFile(), []
+        self.draw, self.drawn, self.drawn_bytes = random.Random(0), [], 0  # drawn: a heap, the greatest lot first
 
     def write(self, raw: bytes) -> None:
         self.payload_bytes += len(raw)
-        if self.compressor is None:
-            self.held.append(raw)
-            self.held_bytes += len(raw)
-            if self.held_bytes >= SAMPLE_BYTES:
-                self._begin()
-        else:
-            self.out.write(self.compressor.compress(raw))
-
-    def _begin(self) -> None:
-        dictionary = build_dictionary(self.held)
-        frame = zstd.ZstdCompressor(level=19).compress(dictionary) if dictionary else b""
-        self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(frame)) + frame)
-        self.compressor = zstd.ZstdCompressor(level=self.level, dict_data=zstd.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
-        for raw in self.held:
-            self.out.write(self.compressor.compress(raw))
-        self.held = []
+        self.waiting.write(raw)
+        sample = raw[:SAMPLE_RECORD]
+        heapq.heappush(self.drawn, (-self.draw.random(), len(self.lengths), sample))
+        self.lengths.append(len(raw))
+        self.drawn_bytes += len(sample)
+        while self.drawn_bytes > SAMPLE_BYTES:
+            self.drawn_bytes -= len(heapq.heappop(self.drawn)[2])
 
     def close(self) -> None:
-        if self.compressor is None:
-            self._begin()
+        dictionary = build_dictionary([sample for _, _, sample in sorted(self.drawn, key=lambda d: d[1])])
+        self.drawn = []
+        frame = zstd.ZstdCompressor(level=19).compress(dictionary) if dictionary else b""
+        self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(frame)) + frame)
+        compressor = zstd.ZstdCompressor(level=self.level, dict_data=zstd.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
+        with self.waiting:
+            self.waiting.seek(0)
+            for length in self.lengths:
+                self.out.write(compressor.compress(self.waiting.read(length)))
 
 
 def read_archive(source, chunk: int = 1 << 20) -> Iterator[bytes]:

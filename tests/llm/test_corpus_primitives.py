@@ -148,6 +148,20 @@ def test_pairs_within_the_distance_share_a_key():
     assert all(np.isin(own, k).any() for k in keys)
 
 
+def test_dictionary_is_drawn_from_the_whole_archive():
+    draw = random.Random(3)
+    noise = [warc.record("response", str(i), "http://x/", "D", draw.randbytes(4000)) for i in range(700)]
+    shared = draw.randbytes(3000)
+    like = [warc.record("response", str(i), "http://x/", "D", shared + draw.randbytes(100)) for i in range(2000)]
+    out = io.BytesIO()
+    writer = warc.ArchiveWriter(out)
+    for r in noise + like:
+        writer.write(r)
+    writer.close()
+    assert list(warc.read_archive(io.BytesIO(out.getvalue()))) == noise + like
+    assert len(out.getvalue()) < sum(map(len, noise)) + sum(map(len, like)) / 4
+
+
 def test_archive_round_trip():
     draw = random.Random(1)
     records = [warc.record("response", str(i), "http://x/", "D", bytes(draw.choices(b"abcd <p>", k=draw.randint(0, 4000)))) for i in range(300)]
