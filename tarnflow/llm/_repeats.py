@@ -7,14 +7,17 @@ at most, and each window belongs to one piece.
 
 1.  Pieces are listed by the hashes of their anchor and of their content, without the text.  Anchors that occur once
     are dropped by a semi join with the (pre-aggregated) counts.
-2.  Pieces of equal content collapse to the first of them, pre-aggregated before the shuffle; so a passage with any
-    number of copies is one row.  Most anchors then have one content: their windows are settled.
-3.  Where an anchor has several contents, the first pieces' texts are sent to their anchor's task, which decides by the
-    operator's own index which windows occur in another piece.  Where it has more than MOST_CONTENTS, its windows are
-    counted one by one instead, again pre-aggregated: no task gets an unbounded group.
-4.  Every document gets its pieces and decisions in one join, and is cut.
-
-Texts are shuffled once, by document, for steps 3 and 4 together.
+2.  Pieces of equal content collapse to the first of them and a count, pre-aggregated before the shuffle; so a passage with
+    any number of copies is one entry, whose text is fetched once.
+3.  The entries of an anchor meet in one task, where the operator's own index is built from them and read by them.  It decides
+    for every entry which of its windows go where the content stands first, and which in its copies.
+4.  An anchor with more than CROWD entries is split by more context: its entries are cut again, by a second anchor and
+    then, if that is not enough, by the window itself, and go through steps 2 and 3 once more.  Entries of a single window are
+    equal if they meet, so what is left for one task then is one entry.
+5.  Every piece gets its content's decision in a join, every document its pieces', and is cut.
+
+Anchors only decide where texts meet.  Content is compared by the index, symbol by symbol; what collapses in step 2 is
+known by two hashes of 64 bits, its anchor's and its content's, which are made by different functions.
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ._features import parts, release_memory
 from ._tables import keyed, written
-from ._text import Words, byte_grams, grams, mix64, window_anchor
+from ._text import Words, byte_grams, grams, mix64, slice_hashes, window_anchor
 
-MOST_CONTENTS = 1500
+CROWD = 256  # entries of an anchor that one task gets at most
+LAST = 2  # the level at which a piece is a single window
 
 
 @dataclass(frozen=True)
@@ -43,8 +49,8 @@ class Frame:
     gram: int
 
     def __post_init__(self):
-        if not (0 < self.gram <= self.window and self.window - self.gram < 256 and self.window - self.gram + 1 <= self.window):
-            raise ValueError("an anchor must be at most as long as a window, and shorter by less than 256 symbols")
+        if not (0 < self.gram <= self.window and self.window - self.gram < 255):
+            raise ValueError("an anchor must be at most as long as a window, and shorter by less than 255 symbols")
 
     def split(self, text: bytes):
         """The symbols of a text, as something that can be sliced."""
@@ -53,48 +59,55 @@ class Frame:
     def content(self, symbols, start: int, length: int) -> bytes:
         return b" ".join(symbols[start : start + length]) if self.symbol == "word" else symbols[start : start + length]
 
-    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all grams and windows of the texts laid end to end, and where each text begins and ends there."""
-        w = Words(texts) if self.symbol == "word" else None
-        if w is not None:
-            return grams(w.hash, self.gram), grams(w.hash, self.window), w.first[:-1], w.first[1:]
-        buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-        begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-        return byte_grams(buf, self.gram), byte_grams(buf, self.window), begin[:-1], begin[1:] - 1
-
-    def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Of each piece: which text, anchor hash, content hash, place (start << 16 | anchor's offset << 8 | windows)."""
-        gram, whole, begin, end = self.hashes(texts)
-        anchor = window_anchor(gram, self.window - self.gram + 1)
-        owner = np.searchsorted(begin, np.arange(len(anchor)), side="right") - 1
-        inside = np.flatnonzero(np.arange(len(anchor)) + self.window <= end[owner]) if len(anchor) else np.empty(0, dtype=np.int64)
-        at = anchor[inside]
-        fresh = np.ones(len(inside), dtype=bool)
-        fresh[1:] = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1] + 1)
-        head = np.flatnonzero(fresh)
-        tail = np.append(head[1:], len(inside)) - 1
-        first, last = (inside[head], inside[tail]) if len(head) else (head, head)
-        where, n = (at[head] if len(head) else head), last - first + 1
-        # The first and the last window of a piece overlap or touch, so their hashes stand for all of it.
-        content = mix64(whole[first] * np.uint64(0x9E3779B97F4A7C15) + mix64(whole[last] ^ n.astype(np.uint64)))
-        text = owner[first] if len(first) else first
-        return text, gram[where], content, (first - begin[text]) << 16 | (where - first) << 8 | n
-
-
-#: Decides for an anchor's pieces.  Gets (doc, place, copies, content) in order of (doc, start), of some anchors, one
-#: after the other; yields (doc, start of the first window, windows) of runs of windows to remove.
-Decide = Callable[[list[tuple[int, int, int, bytes]]], Iterator[tuple[int, int, int]]]
+    def pieces(self, texts: list[bytes], level: int = 0) -> tuple[np.ndarray, ...]:
+        """Of each piece: which text, anchor hash, content hash, place (start << 16 | anchor's offset << 8 | windows).
+
+        Anchors differ between levels; at the last one every window is a piece, and its own anchor.
+        """
+        if self.symbol == "word":
+            w = Words(texts)
+            symbols, begin, end = w.hash, w.first[:-1], w.first[1:]
+            gram, data, width = grams(symbols, self.gram), memoryview(symbols.tobytes()), 8
+        else:
+            symbols = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+            begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+            gram, begin, end = byte_grams(symbols, self.gram), begin[:-1], begin[1:] - 1
+            data, width = memoryview(symbols), 1
+        windows = np.arange(max(0, len(symbols) - self.window + 1))
+        owner = np.searchsorted(begin, windows, side="right") - 1
+        inside = windows[windows + self.window <= end[owner]]
+        if level == LAST:
+            first, n = inside, np.ones(len(inside), dtype=np.int64)
+            at = first
+        else:
+            if level:
+                gram = mix64(gram ^ np.uint64(0xA0761D6478BD642F * level & (1 << 64) - 1))
+            anchor = window_anchor(gram, self.window - self.gram + 1)[inside]
+            fresh = np.ones(len(inside), dtype=bool)
+            fresh[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1] + 1)
+            head = np.flatnonzero(fresh)
+            first, n, at = inside[head], np.diff(np.append(head, len(inside))), anchor[head]
+        content = slice_hashes(data, first * width, (first + n + self.window - 1) * width)
+        return owner[first], content if level == LAST else gram[at], content, (first - begin[owner[first]]) << 16 | (at - first) << 8 | n
+
+
+#: Decides for the entries of some anchors, one after the other, each anchor's in order of (doc, place): gets (place, copies,
+#: content) of each, copies being 1 or 2 (or more); returns for each the runs (offset of the first window, windows) to remove
+#: where it stands first, and those to remove in its copies.
+Runs = list[tuple[int, int]]
+Decide = Callable[[list[tuple[int, int, bytes]]], list[tuple[Runs, Runs]]]
 CHUNK_SYMBOLS = 60_000  # symbols of pieces that one index is built for, a whole anchor at least
 
 _LONG = pa.int64()
+_ENTRY = "key long, content long, doc long, place long, copies int, piece binary"
+_DECISION = "key long, content long, doc long, place long, first array<int>, again array<int>"
 
 
-def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schema: str, keep_first: bool, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Applies ``cut(id, symbols, spans)`` to every document and returns its rows.
 
-    spans: sorted, disjoint (start, end) of the symbols to remove.  With keep_first a window is removed if an equal
-    one starts earlier (in a document of smaller id, or earlier in the same one); else if an equal one starts anywhere
-    else.  With carry, the struct ``rest`` has the document's other columns.
+    spans: sorted, disjoint (start, end) of the symbols to remove: those that a window covers for which ``decide`` says so.
+    With carry, the struct ``rest`` has the document's other columns.
     """
     rows, _ = keyed(docs, id_col, text_col, carry)
     rest = ["rest"] if carry else []
@@ -104,136 +117,141 @@ def repeated(docs: DataFrame, frame: Frame, decide: Decide, cut: Callable, schem
             ids, texts, at = np.asarray(batch.column(0)), [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], 0
             for part in parts(texts):
                 text, anchor, content, place = frame.pieces(part)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64), _LONG), pa.array(content.view(np.int64), _LONG), pa.array(ids[at + text], _LONG), pa.array(place, _LONG)], ["anchor", "content", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64), _LONG), pa.array(content.view(np.int64), _LONG), pa.array(ids[at + text], _LONG), pa.array(place, _LONG)], ["key", "content", "doc", "place"])
                 at += len(part)
 
-    pieces = rows.select("doc", "text").mapInArrow(scan, "anchor long not null, content long not null, doc long not null, place long not null")
+    pieces = rows.select("doc", "text").mapInArrow(scan, "key long not null, content long not null, doc long not null, place long not null")
     # Written, so that the join below has an exchange on either side, which adaptive execution can split at a hot anchor.
-    often = written(pieces.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    shared = written(pieces.join(often, "anchor", "left_semi"), "pieces")  # read three times
-
-    contents = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("copies"))
-    contents = written(contents, "contents")
-    variants = written(contents.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
-    kind = F.when(F.col("variants").isNull(), 0).when(F.col("variants") <= MOST_CONTENTS, 1).otherwise(2)
-    firsts = contents.join(variants, "anchor", "left").select("first.doc", "first.place", "anchor", (kind * 2 + F.when(F.col("copies") > 1, 1).otherwise(0)).alias("kind"))
-    # Of each document: the places of all its shared pieces, and more about those that are the first of their content.
-    # Places take 8 bytes, so what a document's row holds is in proportion to its text.
-    none = F.lit(None)
-    listed = (
-        shared.select("doc", "place", none.cast("struct<place: long, anchor: long, kind: int>").alias("first"))
-        .unionAll(firsts.select("doc", none.cast("long"), F.struct("place", "anchor", "kind")))
-        .groupBy("doc").agg(F.collect_list("place").alias("places"), F.collect_list("first").alias("firsts"))
-    )
-    texts = rows.repartition(F.col("doc"))
-    known = texts.join(listed, "doc", "left")
-
-    def extract(lowest: int, highest: int):
-        """The texts of those first pieces whose kind is in a range."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for doc, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "firsts")), strict=True):
-                    symbols = frame.split(text.encode())
-                    for mark in marks:
-                        place, kind = mark["place"], mark["kind"]
-                        if lowest <= kind <= highest:
-                            out.append((mark["anchor"], doc, place, 1 + (kind & 1), frame.content(symbols, place >> 16, (place & 255) + frame.window - 1)))
-                    if len(out) > 4000:
-                        yield _piece_batch(out)
-                        out = []
-                if out:
-                    yield _piece_batch(out)
-                release_memory()
-
-        # All columns are asked for, so that this and the last step read the same exchange of the texts.
-        some = known.where(F.exists("firsts", lambda f: f.kind.between(lowest, highest)))
-        return some.select("id", "doc", "text", *rest, "places", "firsts").mapInArrow(run, "anchor long, doc long, place long, copies int, piece binary")
+    often = written(pieces.groupBy("key").count().where("count > 1").select("key"), "anchors")
+    shared = written(pieces.join(often, "key", "left_semi"), "pieces")  # read twice
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs decide on whole anchors, several at a time.  Rows come sorted by anchor, doc and place."""
-        held, size, anchor = [], 0, None
+    contents = written(shared.groupBy("key", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("copies")), "contents")
+    marks = contents.groupBy("first.doc").agg(F.collect_list(F.struct("first.place", "key", "content", F.least("copies", F.lit(2)).cast("int").alias("copies"))).alias("marks"))
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of the entries."""
         for batch in batches:
-            found = []
-            for key, doc, place, copies, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != anchor and size >= CHUNK_SYMBOLS:
-                    found += decide(held)
-                    held, size = [], 0
-                anchor = key
-                held.append((doc, place, copies, piece))
-                size += (place & 255) + frame.window
-            if found:
-                yield _run_batch(found)
-        if held and (found := list(decide(held))):
-            yield _run_batch(found)
+            out = []
+            for doc, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "marks")), strict=True):
+                symbols = frame.split(text.encode())
+                for m in marks:
+                    out.append((m["key"], m["content"], doc, m["place"], m["copies"], frame.content(symbols, m["place"] >> 16, (m["place"] & 255) + frame.window - 1)))
+                if len(out) > 4000:
+                    yield _entry_batch(out)
+                    out = []
+            if out:
+                yield _entry_batch(out)
+            release_memory()
 
-    decided = extract(2, 3).repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc", "place").mapInArrow(settle, "doc long, run long")
+    entries = written(rows.select("doc", "text").join(marks, "doc").mapInArrow(extract, _ENTRY), "entries")
+    decisions = _decided(entries, frame, decide, 0)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, place, copies, piece in zip(*(batch.column(c).to_pylist() for c in ("doc", "place", "copies", "piece")), strict=True):
-                _, whole, _, _ = frame.hashes([piece])
-                n = place & 255
-                yield pa.RecordBatch.from_arrays([pa.array(whole[:n].view(np.int64), _LONG), pa.array([doc] * n, _LONG), pa.array((place >> 16) + np.arange(n), _LONG), pa.array([copies] * n, pa.int32())], ["window", "doc", "start", "copies"])
-
-    singled = extract(4, 5).mapInArrow(windows, "window long, doc long, start long, copies int")
-    alone = singled.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.sum("copies").alias("copies"))
-    stays: Column = F.lit(True) if keep_first else F.col("copies") == 1
-    # A run is start << 9 | windows << 1 | whether they stay.
-    kept = alone.where(stays).select("first.doc", (F.col("first.start") * 512 + 3).alias("run"))
-    runs = decided.unionAll(kept).groupBy("doc").agg(F.collect_list("run").alias("runs"))
+    # A run is start << 8 | windows.
+    mine = (F.col("d.doc") == F.col("p.doc")) & (F.col("d.place") == F.col("p.place"))
+    start = F.shiftright("p.place", 16)
+    found = shared.alias("p").join(decisions.alias("d"), ["key", "content"]).select(F.col("p.doc").alias("doc"), F.transform(F.when(mine, F.col("first")).otherwise(F.col("again")), lambda r: F.shiftleft(start + F.shiftright(r, 8), 8).bitwiseOR(r.bitwiseAND(F.lit(255)))).alias("runs"))
+    runs = found.where(F.size("runs") > 0).groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, places, marks, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "places", "firsts", "runs")), strict=True):
+            for doc_id, text, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "runs")), strict=True):
                 symbols = frame.split((text or "").encode())
-                out.append(cut(doc_id, text, symbols, _spans(len(symbols), frame.window, places, marks, runs, keep_first)))
+                out.append(cut(doc_id, text, symbols, _spans(len(symbols), frame.window, runs)))
             made = pa.RecordBatch.from_pylist(out, schema=arrow_schema)
             release_memory()
             yield pa.RecordBatch.from_arrays([*made.columns, *(batch.column(c) for c in rest)], [*made.schema.names, *rest])
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     returned = StructType.fromDDL(schema)
     arrow_schema = to_arrow_schema(returned)
     full = StructType(returned.fields + [f for f in rows.schema.fields if f.name in rest])
-    return known.join(runs, "doc", "left").select("id", "text", *rest, "places", "firsts", "runs").mapInArrow(finish, full)
+    return rows.join(runs, "doc", "left").select("id", "text", *rest, "runs").mapInArrow(finish, full)
 
 
-def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [_LONG, _LONG, _LONG, pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "doc", "place", "copies", "piece"])
+def _decided(entries: DataFrame, frame: Frame, decide: Decide, level: int) -> DataFrame:
+    """The decisions for a written table of entries, one for each key and content, in which something is to be removed."""
 
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs decide on whole anchors, several at a time.  Rows come sorted by key, doc and place."""
+        held, size, key = [], 0, None
+        for batch in batches:
+            found = []
+            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if entry[0] != key and size >= CHUNK_SYMBOLS:
+                    found += _decisions(held, decide)
+                    held, size = [], 0
+                key = entry[0]
+                held.append(entry)
+                size += (entry[3] & 255) + frame.window
+            if found:
+                yield _decision_batch(found)
+        if held and (found := list(_decisions(held, decide))):
+            yield _decision_batch(found)
 
-def _run_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], _LONG), pa.array([f[1] << 9 | f[2] << 1 for f in found], _LONG)], ["doc", "run"])
+    def settled(some: DataFrame) -> DataFrame:
+        return some.repartition(F.col("key")).sortWithinPartitions("key", "doc", "place").mapInArrow(settle, _DECISION)
 
+    crowded = None if level == LAST else written(entries.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded")
+    if crowded is None or crowded.isEmpty():
+        return settled(entries)
 
-def _spans(size: int, window: int, places, marks, runs, keep_first: bool) -> list[tuple[int, int]]:
-    """The spans of symbols that the windows to remove cover."""
-    if not places:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pieces of entries by the anchors of the next level; what they are known by there, and what they come from."""
+        for batch in batches:
+            texts, at = batch.column("piece").to_pylist(), 0
+            old = {c: np.asarray(batch.column(c)) for c in ("key", "content", "doc", "place", "copies")}
+            for part in parts(texts):
+                text, anchor, content, place = frame.pieces(part, level + 1)
+                of = at + text
+                key = mix64(anchor ^ mix64(old["key"][of].view(np.uint64)))
+                place = place + (old["place"][of] >> 16 << 16)
+                symbols = [frame.split(t) for t in part]
+                inner = [frame.content(symbols[t], int(p >> 16) - int(old["place"][at + t] >> 16), int(p & 255) + frame.window - 1) for t, p in zip(text.tolist(), place.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in ((key.view(np.int64), _LONG), (content.view(np.int64), _LONG), (old["doc"][of], _LONG), (place, _LONG), (old["copies"][of], pa.int32()), (inner, pa.binary()), (old["key"][of], _LONG), (old["content"][of], _LONG), (old["place"][of], _LONG))],
+                    ["key", "content", "doc", "place", "copies", "piece", "of_key", "of_content", "of_place"],
+                )
+                at += len(part)
+
+    inner = written(entries.join(crowded, "key", "left_semi").select("key", "content", "doc", "place", "copies", "piece").mapInArrow(split, f"{_ENTRY}, of_key long, of_content long, of_place long"), "inner-pieces")
+    first = inner.groupBy("key", "content").agg(F.min(F.struct("doc", "place", "piece")).alias("first"), F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"))
+    deeper = _decided(written(first.select("key", "content", "first.doc", "first.place", "copies", "first.piece"), "inner-entries"), frame, decide, level + 1)
+    # Back to the entries: a piece that is not the first of its content is a copy where its entry stands first, too.
+    mine = (F.col("d.doc") == F.col("p.doc")) & (F.col("d.place") == F.col("p.place"))
+    moved = lambda runs: F.transform(runs, lambda r: (r + F.shiftleft(F.shiftright("p.place", 16) - F.shiftright("p.of_place", 16), 8)).cast("int"))
+    back = inner.drop("piece").alias("p").join(deeper.alias("d"), ["key", "content"]).select(
+        F.col("of_key").alias("key"), F.col("of_content").alias("content"), F.col("p.doc").alias("doc"), F.col("of_place").alias("place"),
+        moved(F.when(mine, F.col("first")).otherwise(F.col("again"))).alias("first"), F.when(F.col("p.copies") > 1, moved(F.col("again"))).otherwise(F.array().cast("array<int>")).alias("again"),
+    )
+    joined = back.groupBy("key", "content", "doc", "place").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("again")).alias("again"))
+    return settled(entries.join(crowded, "key", "left_anti").select(*entries.columns)).unionAll(joined)
+
+
+def _decisions(held: list[tuple], decide: Decide) -> Iterator[tuple]:
+    for (key, content, doc, place, _, _), (first, again) in zip(held, decide([e[3:] for e in held]), strict=True):
+        if first or again:
+            yield key, content, doc, place, [at << 8 | n for at, n in first], [at << 8 | n for at, n in again]
+
+
+def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [_LONG, _LONG, _LONG, _LONG, pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "content", "doc", "place", "copies", "piece"])
+
+
+def _decision_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [_LONG, _LONG, _LONG, _LONG, pa.list_(pa.int32()), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "content", "doc", "place", "first", "again"])
+
+
+def _spans(size: int, window: int, runs) -> list[tuple[int, int]]:
+    """The spans of symbols that the windows of some runs cover."""
+    if not runs:
         return []
-    gone = np.zeros(size + 2, dtype=np.int32)  # +1 where a run of windows to remove begins, -1 after its last
-
-    def remove(start: int, n: int) -> None:
-        gone[start] += 1
-        gone[start + n] -= 1
-
-    first = {m["place"]: m["kind"] for m in marks or ()}
-    for place in places:
-        kind = first.get(place)
-        if kind is None or (kind & 1 and not keep_first) or kind >= 4:
-            remove(place >> 16, place & 255)
-    for run in runs or ():
-        n = run >> 1 & 255
-        gone[run >> 9] += -1 if run & 1 else 1
-        gone[(run >> 9) + n] -= -1 if run & 1 else 1
+    gone = np.zeros(size + 2, dtype=np.int32)  # +1 where a run of windows begins, -1 after its last
+    for run in runs:
+        gone[run >> 8] += 1
+        gone[(run >> 8) + (run & 255)] -= 1
     at = np.flatnonzero(np.cumsum(gone[:size]) > 0)
-    if not len(at):
-        return []
     split = np.flatnonzero(np.diff(at) > window) + 1  # windows that overlap or touch make one span
     heads, tails = np.concatenate(([0], split)), np.concatenate((split, [len(at)])) - 1
     return [(int(at[h]), int(at[t]) + window) for h, t in zip(heads, tails, strict=True)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,20 +29,44 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(name, most)
 
 
+_local: list[str] = []  # the folder of a session that runs on one machine and has none
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or (only where that is unset, as in
-    tests on one machine) a temporary folder."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: spark.checkpoint.dir.  Where that is unset, a session that runs
+    within one process (as tests do) gets a temporary folder; on a cluster that is an error."""
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not place:
-        place = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tarnflow-')}"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _local:
+            _local.append(f"file://{tempfile.mkdtemp(prefix='tarnflow-')}")
+        place = _local[0]
     return place.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; it can be deleted once the application has ended."""
+    return f"{shared_dir(spark)}/tarnflow/{spark.sparkContext.applicationId}"
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read back: cuts the lineage and survives lost executors."""
+    """df, written as a table in the shared folder and read back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the job are deleted when it ends, since nothing reads them after that.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,15 +84,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> t
     """doc (a unique long in the order of the ids), id, text; and whether doc is the id itself (NULL_ID where that is null).
 
     The ids themselves, where they are unique, which one pass over the id column tells.  Otherwise documents are
-    numbered in order of id and text, and written, so that the numbers stay.  With carry, the other columns come along as
-    a struct, rest.
+    numbered in order of id, of a hash of the text, and of their place in the input, and written, so that the numbers stay.
+    Rows of one id, and even equal rows, may so go to several tasks.  With carry, the other columns come along as a struct,
+    rest.
     """
     bound_batches(docs.sparkSession)
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]).alias("rest")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *others)
     key = F.coalesce("id", F.lit(NULL_ID))
     rows = rows.withColumn("doc", key)
-    if rows.groupBy("doc").count().where("count > 1").isEmpty():
+    if rows.groupBy("doc").agg(F.count("*").alias("n"), F.count("id").alias("named")).where(f"n > 1 or (doc = {NULL_ID} and named > 0)").isEmpty():
         return rows, True
-    ordered = rows.repartitionByRange(F.col("id"), F.col("text")).sortWithinPartitions("id", "text")
+    # Only these three columns are sampled for the ranges' bounds.
+    order = ["id", "__hash", "__place"]
+    ordered = rows.withColumns({"__hash": F.xxhash64("text"), "__place": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).drop("__hash", "__place")
     return written(ordered.withColumn("doc", F.monotonically_increasing_id()), "numbered"), False

@@ -8,6 +8,7 @@ the same runs that ``bytes.split()`` yields.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -15,6 +16,8 @@ _GRAM = np.uint64(0xD6E8FEB86659FD93)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = []
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)  # the bytes of a word among eight
+_LONG_WORD = 64  # bytes; longer words are hashed one by one
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -39,6 +42,29 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, by its length and its bytes, eight at a time.
+
+    Every eight bytes are mixed by a bijection of their own before they are added, so words of up to eight bytes and the same
+    length never hash alike, and no pattern of repeated letters (as with sums of powers) makes longer ones do so.
+    """
+    length = end - start
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((buf, np.zeros(8, dtype=np.uint8))), 8)
+
+    def load(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eight[at].view("<u8").ravel() & _KEEP[np.minimum(left, 8)]
+
+    out = mix64(mix64(load(start, length)) + length.astype(np.uint64) * _BASE)
+    rest, at = np.flatnonzero((length > 8) & (length <= _LONG_WORD)), 8
+    while len(rest):
+        out[rest] = mix64(out[rest] * _GRAM + mix64(load(start[rest] + at, length[rest] - at)))
+        at += 8
+        rest = rest[length[rest] > at]
+    for i in np.flatnonzero(length > _LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[start[i] : end[i]])
+    return out
+
+
 class Words:
     """The words of a batch of texts.
 
@@ -59,11 +85,7 @@ class Words:
         self.first = np.searchsorted(self.start, self.offset)
         if fold:
             buf = np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
-        power, inverse = _power_tables(len(buf))
-        sums = np.empty(len(buf) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=sums[1:])
-        self.hash = mix64((sums[self.end] - sums[self.start]) * inverse[self.start])
+        self.hash = word_hashes(buf, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -76,12 +98,13 @@ def grams(symbols: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
     for j in range(k):
-        out = out * _GRAM + symbols[j : j + n]
+        out = (out ^ (out >> np.uint64(31))) * _GRAM + symbols[j : j + n]
     return mix64(out)
 
 
 def byte_grams(buf: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k bytes, in time that does not depend on k."""
+    """Hashes of all runs of k bytes, in time that does not depend on k: sums of powers, good for choosing where texts meet,
+    not for telling whether they are equal."""
     n = len(buf) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
@@ -93,7 +116,7 @@ def byte_grams(buf: np.ndarray, k: int) -> np.ndarray:
 
 
 def window_anchor(gram_hash: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` grams, the index of the one with the least hash (the first of equals).
+    """For each run of ``width`` grams, the index of the one whose hash is least in its upper half (the first of equals).
 
     Equal windows choose the gram at the same place, wherever they stand: the choice depends on what is in the
     window alone.
@@ -101,8 +124,9 @@ def window_anchor(gram_hash: np.ndarray, width: int) -> np.ndarray:
     n = len(gram_hash)
     if n < width:
         return np.empty(0, dtype=np.int64)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    if n >> 32:
+        raise ValueError("a batch of texts has over 2**32 symbols")
+    low = np.uint64((1 << 32) - 1)
     least = (gram_hash & ~low) | np.arange(n, dtype=np.uint64)
     span = 1
     while span * 2 <= width:
@@ -111,3 +135,9 @@ def window_anchor(gram_hash: np.ndarray, width: int) -> np.ndarray:
     if rest := width - span:
         least = np.minimum(least[:-rest], least[rest:])
     return (least & low).astype(np.int64)
+
+
+def slice_hashes(data: memoryview, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the content of each slice."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), dtype=np.uint64, count=len(start))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import decontaminate, fingerprint, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
-from ._tables import shared_dir, table, written
+from ._tables import table, work_dir, written
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ select c.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, c.doc_id
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    folder = f"{shared_dir(spark)}/tarnflow/warc-{uuid.uuid4().hex}"
+    folder = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
     files = written(warc.write_archives(pages, folder), "warc-files")
     return warc.read_archives(files, folder).select(
         F.col("id").cast("long").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
@@ -101,6 +101,20 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+# Bytes are pairs of hexadecimal digits; windows that overlap or touch make one span.
+OP9_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+ w as (select doc_id, s, md5(substr(h, 2 * s + 1, 400)) as k from (select doc_id, h, unnest(range(0, length(h) // 2 - 199)) as s from d where length(h) >= 400)),
+ r as (select doc_id, s, case when s - lag(s) over (partition by doc_id order by s) <= 200 then 0 else 1 end as fresh from (select *, count(*) over (partition by k) as n from w) where n > 1),
+ p as (select doc_id, min(s) as a, max(s) + 200 as b from (select *, sum(fresh) over (partition by doc_id order by s) as g from r) group by doc_id, g),
+ q as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from p),
+ k as (select q.doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept
+   from q join d on q.doc_id = d.doc_id group by q.doc_id)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join k on d.doc_id = k.doc_id
+"""
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, url_filter.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -133,5 +147,6 @@ ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op7_minhash_near_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op9_suffix_array_dedup": OP9_SQL,
     "op10_url_filters": OP10_SQL,
 }

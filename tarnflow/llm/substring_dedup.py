@@ -8,14 +8,16 @@ The whole corpus is its own reference, in shards: the shard of an anchor (see ``
 around it.  A shard's automaton is built and read in the same task, and read by those pieces only that can match
 there; an automaton of every shard sent to every document would cost the square of the corpus.  Pieces come in order
 of document and place; each is first read through the automaton of those before it, and then added to it, so that what
-is found starts earlier.
+is found starts earlier.  The copies of a piece are read through the automaton once it is added, together, since they read
+alike.  No word is removed that an automaton did not match.
 
 ``against_reference`` is the plain form, for a reference of bounded size: its shards' automata are broadcast, and
 documents stream past them without any shuffle.
 
-Defined cases.  Null and empty texts have no words, and nothing is removed.  Texts shorter than a window are kept.  Of
-repeated rows (same id and text) the first keeps its words.  Null ids come first.  Only word sequences count: blanks between
-kept words are not part of the result.
+Defined cases.  Null and empty texts have no words, and nothing is removed.  Texts shorter than a window are kept; texts of
+any length are read whole.  Rows of one id are ordered by a hash of their text; of equal rows one keeps its words.  Null ids
+come first.  Only word sequences count: blanks between kept words are not part of the result.  An empty table gives no rows.
+Other columns are not part of the result, whatever their names, unless carried along in the struct ``rest``.
 """
 
 from __future__ import annotations
@@ -111,15 +113,16 @@ def runs_of_windows(matches, window: int) -> list[tuple[int, int]]:
 
 
 def decide_by_automaton(window: int):
-    """Which windows of some pieces occur in a piece before them."""
+    """Which windows of some entries occur in an entry before them, and which in their copies."""
 
-    def decide(pieces: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-        automaton = SuffixAutomaton()
-        for doc, place, _, content in pieces:
+    def decide(entries: list[tuple[int, int, bytes]]) -> list[tuple[list, list]]:
+        automaton, out = SuffixAutomaton(), []
+        for _, copies, content in entries:
             words = content.split()
-            for start, n in runs_of_windows(automaton.matches(words), window):
-                yield doc, (place >> 16) + start, n
+            before = runs_of_windows(automaton.matches(words), window)
             automaton.add(words)
+            out.append((before, runs_of_windows(automaton.matches(words), window) if copies > 1 else []))
+        return out
 
     return decide
 
@@ -144,7 +147,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
             del row["kept"]
         return row
 
-    return repeated(docs, Frame("word", window, gram), decide_by_automaton(window), cut, schema + ", kept string" * keep_text, True, id_col, text_col, carry)
+    return repeated(docs, Frame("word", window, gram), decide_by_automaton(window), cut, schema + ", kept string" * keep_text, id_col, text_col, carry)
 
 
 def against_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

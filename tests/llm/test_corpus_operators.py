@@ -77,17 +77,17 @@ def brute_bytes(docs, window):
     return out
 
 
-@pytest.mark.parametrize("most", [1500, 1])
-def test_repeated_word_windows(spark, corpus, monkeypatch, most):
-    monkeypatch.setattr("tarnflow.llm._repeats.MOST_CONTENTS", most)  # 1: every anchor with two contents counts windows singly
+@pytest.mark.parametrize("crowd", [256, 0])
+def test_repeated_word_windows(spark, corpus, monkeypatch, crowd):
+    monkeypatch.setattr("tarnflow.llm._repeats.CROWD", crowd)  # 0: every anchor is split, down to single windows
     df = with_clashes(spark.createDataFrame(corpus, DOCS))
     out = substring_dedup.remove_repeated(df)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.collect()} == brute_words(corpus, 20)
 
 
-@pytest.mark.parametrize("most", [1500, 1])
-def test_repeated_byte_windows(spark, corpus, monkeypatch, most):
-    monkeypatch.setattr("tarnflow.llm._repeats.MOST_CONTENTS", most)
+@pytest.mark.parametrize("crowd", [256, 0])
+def test_repeated_byte_windows(spark, corpus, monkeypatch, crowd):
+    monkeypatch.setattr("tarnflow.llm._repeats.CROWD", crowd)
     df = with_clashes(spark.createDataFrame(corpus, DOCS))
     out = suffix_dedup.remove_repeated(df, carry=True)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()}
@@ -104,6 +104,29 @@ def test_repeats_of_repeated_rows_and_null_ids(spark):
     assert cut == [0, 0, len(text), len(text), len(text)]
 
 
+def test_every_removal_comes_from_the_index(spark, corpus, monkeypatch):
+    df = spark.createDataFrame(corpus, DOCS)
+    monkeypatch.setattr(substring_dedup, "runs_of_windows", lambda matches, window: [])
+    assert substring_dedup.remove_repeated(df).where("n_removed > 0").isEmpty()
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda symbols: list(range(len(symbols))))
+    assert suffix_dedup.remove_repeated(df).where("n_removed > 0").isEmpty()
+
+
+def test_repeats_of_nothing(spark):
+    empty = with_clashes(spark.createDataFrame([], DOCS))
+    assert substring_dedup.remove_repeated(empty).count() == 0 and suffix_dedup.remove_repeated(empty, carry=True).count() == 0
+
+
+def test_words_that_sums_of_powers_confuse_are_different(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    shared = " ".join(f"w{i}" for i in range(19))
+    out = substring_dedup.remove_repeated(spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {other}")], DOCS))
+    assert [r["n_removed"] for r in out.collect()] == [0, 0]
+    near = near_dedup.near_duplicates(spark.createDataFrame([(1, one), (2, other)], DOCS))
+    assert sorted(r["component_id"] for r in near.collect()) == [1, 2]
+
+
 def test_against_a_broadcast_reference(spark, corpus, monkeypatch):
     reference = spark.createDataFrame(corpus[30:36], DOCS)
     out = substring_dedup.against_reference(spark.createDataFrame(corpus, DOCS), reference)
