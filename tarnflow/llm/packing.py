@@ -14,7 +14,9 @@ Pieces and residuals are written to the shared folder, so tokens are made once a
 
 Defined cases.  A null text is empty; an empty document is its end token.  Repeated rows are packed each for itself.  A
 document longer than a sequence is cut into full sequences, and its first piece is what is left over; documents that
-fit are never cut.  An empty table gives no rows.
+fit are never cut.  Texts of any length are tokenized whole; those with a very long run of blanks or of other characters by the
+vocabulary's own library, which is slower.  An empty table gives no rows.  Other columns are not part of the result,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -41,24 +43,59 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 _PIECES = "source long, number long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-_encoders: dict[str, object] = {}
+_vocabularies: dict[str, Vocabulary] = {}
+#: Bytes of a run of blanks, or of anything else, beyond which a text goes to the file's own library: the faster one takes its
+#: pattern recursively and its merges in quadratic time, which does for words but not for runs of any length.
+LONG_RUN = 1024
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def encoder(path: str):
-    """The vocabulary of a byte-level BPE file, as an encoder that gives the ids its own library gives, faster."""
-    if path not in _encoders:
+def has_long_run(raw: bytes) -> bool:
+    """Whether a text may have a run of blanks, or of what is not blank, of over LONG_RUN bytes.
+
+    Bytes of other characters than ASCII may be either, so they count as both.
+    """
+    if len(raw) <= LONG_RUN:
+        return False
+    buf = np.frombuffer(raw, dtype=np.uint8)
+    blank = _BLANK[buf]
+    return any(np.diff(np.flatnonzero(np.concatenate(([True], ends, [True])))).max() - 1 > LONG_RUN for ends in (blank, ~blank & (buf < 128)))
+
+
+class Vocabulary:
+    """A byte-level BPE file as an encoder: the ids that its own library gives, by a faster one wherever that can."""
+
+    def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        splitter = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True):
+            raise ValueError(f"{path} isn't a byte-level vocabulary with the published pattern")
         # Such files write bytes as printable characters: the printable ones as they are, the others from 256 up, in order.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _encoders[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return _encoders[path]
+        self.path, self.own = path, None
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> list[int]:
+        if not has_long_run(text.encode()):
+            return self.fast.encode(text, allowed_special="all")
+        if self.own is None:
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
+        return self.own.encode(text, add_special_tokens=False).ids
+
+
+def vocabulary(path: str) -> Vocabulary:
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -156,11 +193,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, source, made = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        words, source, made = vocabulary(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encode.encode(text or "", allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(words.encode(text or ""), end_id).astype("<u4")
                 for piece, (start, length) in enumerate(pieces(len(ids), capacity)):
                     rows.append((source, made + len(rows), doc_id, piece, start, length, zlib.crc32(ids[start : start + length].tobytes())))
             release_memory()
