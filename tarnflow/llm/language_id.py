@@ -5,14 +5,17 @@ hashed runs of bytes.  A text's margins for all bits are held against each codew
 is weighted by how well that bit's classifier did in training, and the codeword of least total loss wins.  Where the
 two best codewords are nearly as good as each other, the text is flagged as ambiguous.
 
-The model is fitted on a bounded sample: SAMPLE_PER_LANGUAGE texts of each language, or fewer of each where there are so
-many languages that the sample would have more than SAMPLE_TEXTS.  Every language is learned; a column of more than
-MAX_LANGUAGES different values is an error, since labels of that many kinds aren't languages.  The sample's features are counted on the executors, and the driver gets one row of BUCKETS counts for each text of the sample.
-Prediction is one pass over the texts without a shuffle; the broadcast model has a fixed size.
+The model is fitted on a bounded sample: SAMPLE_PER_LANGUAGE different texts of each language, or fewer of each where there are
+so many languages that the sample would have more than SAMPLE_TEXTS.  Every language is learned; a column of more than
+MAX_LANGUAGES different values is an error, since labels of that many kinds aren't languages.  Texts are drawn by a hash of
+the text, so ids have no say, and copies of a text are one.  The sample's features are counted on the executors, and the
+driver gets one row of BUCKETS counts for each text of the sample, 64 MB at most.  Prediction is one pass over the texts
+without a shuffle; the broadcast model has a fixed size.
 
 Defined cases.  Null texts and texts without any letter are ``und``, with score 0 and not ambiguous.  Rows with a null
-language teach nothing.  Texts of any length are used whole.  Repeated rows get a result each; other columns are not
-touched.  With a single language, that is the prediction for every text with letters; with none, ``und`` is.
+language teach nothing.  Texts of any length are used whole.  Repeated rows, null ids among them, get a result each.  Other
+columns stay, whatever their names, but those called like a result (lang_pred, score, ambiguous) are replaced by it.  An empty
+table gives no rows.  With a single language, that is the prediction for every text with letters; with none, ``und`` is.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._features import character_counts, parts, release_memory, texts_of
@@ -33,7 +36,7 @@ from ._tables import bound_batches
 BUCKETS = 4096
 ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 500
-SAMPLE_TEXTS = 128_000
+SAMPLE_TEXTS = 8_000
 MAX_LANGUAGES = 4096
 AMBIGUOUS_MARGIN = 0.05  # of the probability of the best and the second-best codeword
 _LETTER = regex.compile(r"\p{L}")
@@ -105,17 +108,18 @@ def fit(counts: np.ndarray, labels: list[str], epochs: int = 200, rate: float =
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Fits a model on a bounded sample of docs, the same for the same rows whatever their order."""
     bound_batches(docs.sparkSession)
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("draw"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("draw"))
+    sizes = {r["lang"]: max(1, r["n"]) for r in labelled.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} different values")
     if not sizes:
         return fit(np.zeros((0, BUCKETS)), [])
     most = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS // len(sizes)))
     # The drawn share of each language is a little larger than needed, by more where few are needed, so that none is left
-    # without a text; the rows beyond most are left out below.
-    share = F.create_map(*[F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, max(1.2 * most, most + 20) / n))])
-    drawn = labelled.where(F.pmod("draw", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    # without a text; copies of a text are one before they are ranked, and what is over is left out.
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, max(1.3 * most, most + 20) / n))])
+    drawn = labelled.where(F.pmod("draw", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    sample = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +131,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 yield pa.RecordBatch.from_pydict({"lang": piece.column("lang"), "draw": piece.column("draw"), "counts": pa.array([c.tobytes() for c in counts], pa.binary())})
 
     held: dict[str, list[tuple[int, bytes]]] = {}
-    for r in drawn.mapInArrow(count, "lang string, draw long, counts binary").toLocalIterator():
+    for r in sample.select("text", "lang", "draw").mapInArrow(count, "lang string, draw long, counts binary").toLocalIterator():
         held.setdefault(r["lang"], []).append((r["draw"], bytes(r["counts"])))
-    rows = [(lang, c) for lang in sorted(held) for _, c in sorted(held[lang])[:most]]
+    rows = [(lang, c) for lang in sorted(held) for _, c in sorted(held[lang])]
     held.clear()
     model = fit(np.array([np.frombuffer(c, dtype="<u2") for _, c in rows]).reshape(len(rows), BUCKETS), [lang for lang, _ in rows])
     release_memory()
