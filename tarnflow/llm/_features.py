@@ -66,22 +66,24 @@ def character_counts(texts: list[bytes], orders: tuple[int, ...], buckets: int)
 
 
 class SubwordFeatures:
-    """The words of some texts, and the runs of bytes within each word, as buckets.
+    """The words of some texts, the runs of characters within each word, and the pairs of neighbouring words, as buckets.
 
     ``bucket[begin[v]:begin[v + 1]]`` are the features of distinct word v: the word itself, then its runs;
-    ``word[first[d]:first[d + 1]]`` are the words of text d; ``repeat`` tells of each word whether it is the same as the
-    word before it in its text (the one pair of words that has a meaning of its own, whatever the word).
+    ``word[first[d]:first[d + 1]]`` are the words of text d; ``pair`` is of each word the bucket of the word before it and
+    itself, and ``paired`` whether there is one before it in its text.  Words and runs have buckets from 0, pairs from ``buckets``.
     """
 
     def __init__(self, texts: list[bytes], orders: tuple[int, ...], buckets: int):
         w = Words(texts)
         distinct, at, self.word = np.unique(w.hash, return_index=True, return_inverse=True)
         self.first = w.first
-        self.repeat = np.zeros(len(w), dtype=bool)
-        self.repeat[1:] = w.hash[1:] == w.hash[:-1]
-        self.repeat[w.first[:-1][w.first[:-1] < len(w)]] = False
-        words = [b"<" + w.data[w.start[i] : w.end[i]] + b">" for i in at]
-        buf = np.frombuffer(b"".join(words), dtype=np.uint8)
+        self.paired = np.ones(len(w), dtype=bool)
+        self.paired[w.first[:-1][w.first[:-1] < len(w)]] = False
+        before = np.concatenate((w.hash[:1], w.hash[:-1]))
+        # The difference of two hashes stands for a pair, so that a word and the same word again is one pair, whatever the word.
+        self.pair = buckets + (mix64(w.hash - before) % np.uint64(buckets)).astype(np.int64)
+        words = [f"<{w.data[w.start[i] : w.end[i]].decode('utf-8', 'replace')}>" for i in at]
+        buf = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype="<u4")
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         end = np.cumsum(length)
         owner = np.repeat(np.arange(len(words)), length)
@@ -89,7 +91,7 @@ class SubwordFeatures:
         for n in orders:
             code = np.full(max(0, len(buf) - n + 1), n, dtype=np.uint64)
             for j in range(n):
-                code = (code << np.uint64(8)) | buf[j : j + len(code)]
+                code = mix64(code) + buf[j : j + len(code)]
             own = owner[: len(code)]
             inside = np.flatnonzero(np.arange(len(code)) + n <= end[own]) if len(code) else np.empty(0, dtype=np.int64)
             codes.append(mix64(code[inside]))

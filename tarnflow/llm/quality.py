@@ -1,18 +1,20 @@
 """A quality classifier with supervised subword embeddings.
 
-Words, and the runs of bytes within words, are hashed into buckets, each with a learned vector; all pairs of a word and
-the same word again share one more.  A document is the mean
-of the vectors of all its words' features; a linear layer and a softmax over the two labels follow.  Vectors and layer
-are trained together, by stochastic gradient descent in numpy.
-
-The model is fitted on a bounded sample (SAMPLE_PER_LABEL documents of each label); executors count the features, the
-driver gets each sampled document's distinct buckets and their counts.  For scoring, vectors and layer collapse into one
-number a bucket: the mean of the vectors, put through a linear layer, is the mean of the vectors each put through it.
-Scoring is one pass over the documents without a shuffle; the broadcast table has a fixed size.
-
-Defined cases.  Null and empty texts have no features; their score is what the layer's bias says.  Documents with a
-null label teach nothing; a document labelled several times counts as often.  Repeated rows get a score each.  Without
-any labels every score is 0.5.
+Words, the runs of characters within words, and the pairs of neighbouring words are hashed into buckets, each with a learned
+vector.  A pair's hash is the difference of its words' hashes: words that repeat, seen before or not, share a vector.  A document is the mean of the vectors of all its features; a linear layer and a softmax over the two labels follow.
+Vectors and layer are trained together, by stochastic gradient descent in numpy.
+
+The model is fitted on a bounded sample: at most 3/2 * SAMPLE_PER_LABEL ids of each label, drawn by a hash of the id, of which
+SAMPLE_PER_LABEL that have a text are used.  Executors count the features, the driver gets each sampled document's distinct
+buckets and their counts.  For scoring, vectors and layer collapse into one number a bucket: the mean of the vectors, put
+through a linear layer, is the mean of the vectors each put through it.  Scoring is one pass over the documents without a
+shuffle; the broadcast table has a fixed size.
+
+Defined cases.  Null and empty texts have no features; their score is what the layer's bias says.  Documents with a null label
+or a null id teach nothing; an id that is labelled several times alike counts once, one that is labelled both ways once for
+each; of several texts of an id the first in order is learned.  Texts of any length are scored whole.  Repeated rows get a score
+each.  Without any labels every score is 0.5.  An empty table gives no rows.  Other columns stay, whatever their names, but those
+called like a result (score, predicted) are replaced by it.
 """
 
 from __future__ import annotations
@@ -22,23 +24,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._features import SubwordFeatures, parts, release_memory, texts_of
 from ._tables import bound_batches
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # for words and runs of characters, and as many for pairs of words
 ORDERS = (3, 4)
 DIMENSIONS = 12
 SAMPLE_PER_LABEL = 1500
 LABELS = 2
-REPEAT = BUCKETS  # the bucket of a word that follows itself
 
 
 @dataclass
 class Model:
-    vectors: np.ndarray  # BUCKETS + 1 x DIMENSIONS
+    vectors: np.ndarray  # 2 * BUCKETS x DIMENSIONS
     layer: np.ndarray  # DIMENSIONS x labels
     bias: np.ndarray  # labels
 
@@ -51,9 +52,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: np
     """rows: buckets and counts of each document.  prior: the share of each label among all labelled documents, which
     the balanced sample does not show."""
     if not rows:
-        return Model(np.zeros((BUCKETS + 1, DIMENSIONS), dtype=np.float32), np.zeros((DIMENSIONS, LABELS), dtype=np.float32), np.zeros(LABELS, dtype=np.float32))
+        return Model(np.zeros((2 * BUCKETS, DIMENSIONS), dtype=np.float32), np.zeros((DIMENSIONS, LABELS), dtype=np.float32), np.zeros(LABELS, dtype=np.float32))
     draw = np.random.default_rng(seed)
-    vectors = draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS + 1, DIMENSIONS)).astype(np.float32)
+    vectors = draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (2 * BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = draw.normal(0, 0.1, (DIMENSIONS, LABELS)).astype(np.float32), np.zeros(LABELS, dtype=np.float32)
     layer -= layer.mean(axis=1, keepdims=True)
     weights = [(c / c.sum()).astype(np.float32) for _, c in rows]
@@ -82,15 +83,18 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: np
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Model:
     """Fits a model on a bounded sample of the labelled docs, the same for the same rows whatever their order."""
     bound_batches(docs.sparkSession)
-    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col).alias("draw"))
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).agg(F.first(F.xxhash64(id_col)).alias("draw"))
     sizes = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     if not sizes:
         return fit([], np.zeros(0, dtype=np.int64), np.full(LABELS, 0.5))
-    # The drawn share is larger than needed, since labels may lack their document; what is over is left out below.
-    share = F.create_map(*[F.lit(v) for label, n in sizes.items() for v in (label, min(1.0, 1.5 * SAMPLE_PER_LABEL / n))])
-    drawn = marks.where(F.pmod("draw", F.lit(1 << 30)) < F.element_at(share, F.col("label")) * (1 << 30))
-    # At most 3 * SAMPLE_PER_LABEL rows, give or take the draw, so it may be broadcast.
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    # More are drawn than needed, since labels may lack their document; what is over is left out below.
+    most = SAMPLE_PER_LABEL * 3 // 2
+    share = F.create_map(*[F.lit(v) for label, n in sizes.items() for v in (label, min(1.0, 1.2 * most / n))])
+    some = marks.where(F.pmod("draw", F.lit(1 << 30)) < F.element_at(share, F.col("label")) * (1 << 30))
+    drawn = some.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("draw", "id"))).where(F.col("nth") <= most).drop("nth")
+    # LABELS * most rows at most, so it may be broadcast.
+    met = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    sample = met.groupBy("id", "label", "draw").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,10 +105,10 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
                     word, times = np.unique(features.word[features.first[d] : features.first[d + 1]], return_counts=True)
                     n = features.begin[word + 1] - features.begin[word]
                     where = np.repeat(features.begin[word] - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n, n) + np.arange(n.sum())
-                    bucket, which = np.unique(features.bucket[where], return_inverse=True)
-                    counts = np.bincount(which, weights=np.repeat(times, n), minlength=len(bucket))
-                    if again := features.repeat[features.first[d] : features.first[d + 1]].sum():
-                        bucket, counts = np.append(bucket, REPEAT), np.append(counts, again)
+                    mine = slice(features.first[d], features.first[d + 1])
+                    pairs = features.pair[mine][features.paired[mine]]
+                    bucket, which = np.unique(np.concatenate((features.bucket[where], pairs)), return_inverse=True)
+                    counts = np.bincount(which, weights=np.concatenate((np.repeat(times, n), np.ones(len(pairs)))), minlength=len(bucket))
                     rows.append(bucket.astype("<i4").tobytes() + counts.astype("<f4").tobytes())
                 piece = batch.slice(at, len(part))
                 at += len(part)
@@ -140,8 +144,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                 f = SubwordFeatures(part, ORDERS, BUCKETS)
                 running = np.concatenate(([0.0], np.cumsum(by_bucket[f.bucket])))
                 word_sum, word_n = running[f.begin[1:]] - running[f.begin[:-1]], np.diff(f.begin)
-                total = np.concatenate(([0.0], np.cumsum(word_sum[f.word] + f.repeat * by_bucket[REPEAT])))
-                count = np.concatenate(([0], np.cumsum(word_n[f.word] + f.repeat)))
+                total = np.concatenate(([0.0], np.cumsum(word_sum[f.word] + f.paired * by_bucket[f.pair])))
+                count = np.concatenate(([0], np.cumsum(word_n[f.word] + f.paired)))
                 logit = (total[f.first[1:]] - total[f.first[:-1]]) / np.maximum(count[f.first[1:]] - count[f.first[:-1]], 1) + bias
                 scores.append(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
             p = np.concatenate(scores) if scores else np.empty(0)
