@@ -1,25 +1,29 @@
 """Near-duplicate documents by b-bit MinHash and a multi-index Hamming join.
 
 A document is the set of its word shingles.  Documents with the same set are one class from the start, whatever their
-number.  Each class has a signature of SYMBOLS minima of BITS bits.  Signatures are cut into CHUNKS chunks; two of them
-that differ in at most 2 * CHUNKS - 1 symbols have, by the pigeonhole principle, a chunk with at most one error.  All
-ways in which a chunk may have one error are enumerated (each symbol left out in turn), so that every pair under the
-distance threshold shares a key: with the defaults 27 of 64 symbols.  Of pairs at the similarity 0.8 about 1 in 70,000 is
-farther apart than that, fewer above it.
+number.  Each class has a signature of minima of BITS bits, cut into chunks; two signatures that differ in at most
+2 * chunks - 1 symbols have, by the pigeonhole principle, a chunk with at most one error.  All ways in which a chunk may have
+one error are enumerated (each symbol left out in turn), so that every pair under the distance threshold shares a key.
+``layout`` chooses the numbers of symbols and chunks by the similarity that is asked for, so that a pair right at it is beyond
+the threshold with a chance of MISSED at most, one above it with less: at 80 percent, 64 symbols in 14 chunks, which finds
+every pair that differs in up to 27 symbols and misses 1 in 70,000.
 
 Links are confirmed on full sets of 64-bit shingle hashes.  What is wanted is connectivity, so pairs are not enumerated
 within groups of copies: first each class is held against the least class of the bucket it shares most keys with, and
-joined to it if similar.  Then only pairs within a bucket that are still in different components are compared: bounds
-that are exact (sizes, and counts of hashes by their first byte, which bound the intersection from above) rule out most,
-full sets decide the rest.  Large buckets are split into blocks.
+joined to it if similar.  Then every bucket that still holds several components gets a centre, drawn anew in each round, and
+its members of other components are held against that, for as long as a round settles a tenth of what is open.  Only then pairs within a bucket that are
+in different components are compared: bounds that are exact (sizes, and counts of hashes by their first byte, which bound the
+intersection from above) rule out most, full sets decide the rest.  Large buckets are split into blocks.
 
 Defined cases.  Null texts and texts without words have an empty set, are linked with nothing, and are kept.  Texts with
-fewer words than a shingle have their word sequence as the only element.  Of rows that repeat an id and text the first
-is kept; null ids come first.  Other columns are kept as they are.
+fewer words than a shingle have their word sequence as the only element; texts of any length are read whole.  Rows of one id
+are ordered by a hash of their text, and one of equal rows is kept; null ids come first.  Other columns are kept as they are,
+whatever their names.  An empty table gives no rows.  A ``percent`` too low for any layout is an error.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +36,24 @@ from ._tables import NULL_ID, keyed, written
 from ._text import Words, grams, mix64
 from .components import components
 
-SYMBOLS, BITS, CHUNKS = 64, 16, 14
+BITS = 16
+MISSED = 2e-5  # chance that a pair right at the similarity asked for is beyond the signatures' threshold
+LAYOUTS = (64, 128, 256)  # numbers of symbols that a signature may have
 BLOCK = 1024  # members of a bucket that are compared with as many others in one piece
 _LONG = pa.int64()
-_HISTOGRAM_VALID = 30_000  # shingles up to which no count of a histogram can exceed a byte, but with a chance of nil
+_FULL = 255  # a count of a histogram that may be larger
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """The numbers of symbols and of chunks of signatures for a similarity; chunks have three symbols at least."""
+    differ = 1 - percent / 100
+    for symbols in LAYOUTS:
+        beyond = 1.0  # chance that more than n symbols differ
+        for n in range(2 * (symbols // 3)):
+            beyond -= math.comb(symbols, n) * differ**n * (1 - differ) ** (symbols - n)
+            if n % 2 and beyond <= MISSED:
+                return symbols, (n + 1) // 2
+    raise ValueError(f"{percent} percent is too low for the signatures")
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -54,29 +72,29 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 
 _draw = np.random.default_rng(11)
-_FACTORS = _draw.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDENDS = _draw.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+_FACTORS = _draw.integers(1, 1 << 63, LAYOUTS[-1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDENDS = _draw.integers(0, 1 << 63, LAYOUTS[-1], dtype=np.uint64)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Texts x SYMBOLS; rows of empty sets are 0."""
+def signatures(sets: list[np.ndarray], symbols: int) -> np.ndarray:
+    """Texts x symbols; rows of empty sets are 0."""
     size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    out = np.zeros((len(sets), SYMBOLS), dtype=np.uint16)
+    out = np.zeros((len(sets), symbols), dtype=np.uint16)
     full = np.flatnonzero(size)
     if len(full):
         flat = np.concatenate([sets[i] for i in full])
         begin = np.cumsum(size[full]) - size[full]
-        for i in range(SYMBOLS):
+        for i in range(symbols):
             x = flat * _FACTORS[i] + _ADDENDS[i]
             x ^= x >> np.uint64(29)
             out[full, i] = (mix64(np.minimum.reduceat(x * _FACTORS[-1 - i], begin)) & np.uint64((1 << BITS) - 1)).astype(np.uint16)
     return out
 
 
-def chunk_keys(signature: np.ndarray) -> np.ndarray:
-    """Texts x SYMBOLS keys: of each chunk, and each symbol of it that may be wrong, a hash of the other symbols."""
+def chunk_keys(signature: np.ndarray, chunks: int) -> np.ndarray:
+    """Texts x symbols keys: of each chunk, and each symbol of it that may be wrong, a hash of the other symbols."""
     keys = np.empty(signature.shape, dtype=np.uint64)
-    for chunk in np.array_split(np.arange(SYMBOLS), CHUNKS):
+    for chunk in np.array_split(np.arange(signature.shape[1]), chunks):
         for wrong in chunk:
             key = np.full(len(signature), wrong + 1, dtype=np.uint64)
             for i in chunk[chunk != wrong]:
@@ -89,7 +107,7 @@ def _histogram(sets: list[np.ndarray]) -> np.ndarray:
     size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     owner = np.repeat(np.arange(len(sets)), size)
     flat = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
-    return np.minimum(np.bincount(owner * 256 + (flat >> np.uint64(56)).astype(np.int64), minlength=256 * len(sets)), 255).reshape(-1, 256).astype(np.uint8)
+    return np.minimum(np.bincount(owner * 256 + (flat >> np.uint64(56)).astype(np.int64), minlength=256 * len(sets)), _FULL).reshape(-1, 256).astype(np.uint8)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,6 +129,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
 
 def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFrame:
     """The result of near_duplicates, and doc."""
+    symbols, chunks = layout(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +139,7 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
                 low, high = (np.fromiter((int((mix64(s ^ np.uint64(salt))).sum(dtype=np.uint64)) for s in sets), dtype=np.uint64, count=len(sets)) for salt in (1, 2))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc").slice(at, len(part)), pa.array([len(s) for s in sets], _LONG), pa.array(low.view(np.int64), _LONG), pa.array(high.view(np.int64), _LONG),
-                    pa.array([s.tobytes() for s in signatures(sets)], pa.binary()), pa.array([h.tobytes() for h in _histogram(sets)], pa.binary()),
+                    pa.array([s.tobytes() for s in signatures(sets, symbols)], pa.binary()), pa.array([h.tobytes() for h in _histogram(sets)], pa.binary()),
                 ], ["doc", "n", "low", "high", "signature", "histogram"])
                 at += len(part)
 
@@ -134,8 +153,8 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("doc")), SYMBOLS), _LONG), pa.array(chunk_keys(signature).ravel().view(np.int64), _LONG)], ["rep", "key"])
+            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, symbols)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("doc")), symbols), _LONG), pa.array(chunk_keys(signature, chunks).ravel().view(np.int64), _LONG)], ["rep", "key"])
 
     keys = reps.select("doc", "signature").mapInArrow(index, "rep long not null, key long not null")
     buckets = written(keys.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"), "buckets")
@@ -173,17 +192,54 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
 
     centres = shared.where("rep <> least").groupBy("rep", "least").count()
     nearest = centres.groupBy("rep").agg(F.max_by("least", F.struct("count", -F.col("least"))).alias("b")).select(F.col("rep").alias("a"), "b")
+    bounds = written(reps.select("doc", "n", "signature", "histogram"), "bounds")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) that no exact bound rules out."""
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = {c: batch.column(c) for c in batch.schema.names}
+                n = [np.asarray(columns[f"n_{e}"]) for e in "ab"]
+                signature = [np.frombuffer(b"".join(columns[f"signature_{e}"].to_pylist()), dtype=np.uint16).reshape(-1, symbols) for e in "ab"]
+                histogram = [np.frombuffer(b"".join(columns[f"histogram_{e}"].to_pylist()), dtype=np.uint8).reshape(-1, 256) for e in "ab"]
+                good = pa.array(_may_be_near(*n, *signature, *histogram, percent, chunks), pa.bool_())
+                yield pa.RecordBatch.from_arrays([columns[e].filter(good) for e in "ab"], ["a", "b"])
+
+        for e in "ab":
+            pairs = pairs.join(bounds.select(*[F.col(c).alias(e if c == "doc" else f"{c}_{e}") for c in bounds.columns]), e)
+        return pairs.mapInArrow(compare, "a long, b long")
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """key, rep and component of the members of buckets that are in several components."""
+        placed = rows.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        several = placed.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).where("lowest <> highest").select("key")
+        return written(placed.join(written(several, "several"), "key", "left_semi"), "open")
+
     links = written(confirmed(nearest), "near-1")
     groups = components(links)
-
-    # Buckets whose members are in several components.
-    placed = shared.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    spread = placed.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.count("*").alias("size"))
-    spread = written(spread.where("lowest <> highest").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "spread")
-    open_rows = placed.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    open_rows, turn = still_open(shared), 0
+    before, left = 0, open_rows.count()
+    while left and (not turn or 10 * left <= 9 * before):
+        turn += 1
+        # A centre for each bucket, and for each member the centre that most of its buckets have, if it is of another component.
+        centre = written(open_rows.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("centre")), "centres")
+        votes = open_rows.join(centre, "key").where("component <> centre.component").groupBy("rep", F.col("centre.rep").alias("centre")).count()
+        chosen = votes.groupBy("rep").agg(F.max_by("centre", F.struct("count", "centre")).alias("other")).select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
+        more = written(confirmed(possible(chosen)), "near-2")
+        if more.isEmpty():
+            break  # what is open stays so
+        links = links.unionAll(more)
+        groups = components(links)
+        open_rows, before = still_open(open_rows), left
+        left = open_rows.count()
+
+    # The pairs of buckets whose members are in several components still.
+    spread = written(open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "spread")
+    in_blocks = open_rows.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A bucket of several blocks: each row goes to the pairs of its own block and every other one.
-    grid = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("piece", F.struct(F.least("block", "other"), F.greatest("block", "other")))
-    cells = grid.join(reps.select(F.col("doc").alias("rep"), "n", "signature", "histogram"), "rep").select("key", F.xxhash64("key", "piece").alias("piece"), "rep", "component", "n", "signature", "histogram")
+    grid = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("piece", F.struct(F.least("block", "other"), F.greatest("block", "other")))
+    cells = grid.join(bounds.withColumnRenamed("doc", "rep"), "rep").select("key", F.xxhash64("key", "piece").alias("piece"), "rep", "component", "n", "signature", "histogram")
 
     def enumerate_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -191,31 +247,41 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
             found: set[tuple[int, int]] = set()
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "rep", "component", "n", "signature", "histogram")), strict=True):
                 if held and row[:2] != held[0][:2]:
-                    found |= open_pairs(held, percent)
+                    found |= open_pairs(held, percent, symbols, chunks)
                     held = []
                 held.append(row)
             if found:
                 yield _pair_batch(found)
-        if held and (found := open_pairs(held, percent)):
+        if held and (found := open_pairs(held, percent, symbols, chunks)):
             yield _pair_batch(found)
 
     pairs = cells.repartition(F.col("piece")).sortWithinPartitions("piece", "key", "rep").mapInArrow(enumerate_cells, "a long, b long").distinct()
-    more = written(confirmed(pairs.join(nearest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")), "near-2")
-    final = components(links.unionAll(more)).select(F.col("node").alias("rep"), F.col("component"))
+    last = written(confirmed(pairs), "near-3")
+    final = (groups if last.isEmpty() else components(links.unionAll(last))).select(F.col("node").alias("rep"), F.col("component"))
     result = member.join(final, "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
     if plain:
-        named = result.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "n", "doc", F.nullif("component", F.lit(NULL_ID)).alias("component_id"), "component")
+        named = result.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "n", "doc", F.nullif("component", F.lit(NULL_ID)).alias("component_id"), "component")  # the id is never NULL_ID here
     else:
         ids = rows.select("doc", F.col("id").alias("doc_id"))
         named = result.join(ids, "doc").join(ids.select(F.col("doc").alias("component"), F.col("doc_id").alias("component_id")), "component")
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc") == F.col("component")).alias("kept"), "doc")
 
 
-def open_pairs(held: list[tuple], percent: int) -> set[tuple[int, int]]:
+def _may_be_near(n_a, n_b, signature_a, signature_b, histogram_a, histogram_b, percent: int, chunks: int) -> np.ndarray:
+    """Of each pair, whether its sizes, signatures and counts of hashes allow it to be similar enough.  All arguments have a row for
+    each pair, or one for all."""
+    good = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    good &= (signature_a != signature_b).sum(axis=1) <= 2 * chunks - 1
+    both = np.minimum(histogram_a, histogram_b)
+    # A count that is full on both sides may be any larger.
+    return good & ((100 * both.sum(axis=1, dtype=np.int64) >= percent * (n_a + n_b - both.sum(axis=1, dtype=np.int64))) | (both == _FULL).any(axis=1))
+
+
+def open_pairs(held: list[tuple], percent: int, symbols: int, chunks: int) -> set[tuple[int, int]]:
     """Pairs (greater, less) of a bucket's rows in different components that no exact bound rules out."""
     _, _, rep, component, n, signature, histogram = zip(*held, strict=True)
     rep, component, n = np.array(rep), np.array(component), np.array(n)
-    signature = np.frombuffer(b"".join(signature), dtype=np.uint16).reshape(-1, SYMBOLS)
+    signature = np.frombuffer(b"".join(signature), dtype=np.uint16).reshape(-1, symbols)
     histogram = np.frombuffer(b"".join(histogram), dtype=np.uint8).reshape(-1, 256)
     names, sizes = np.unique(component, return_counts=True)
     # Every open pair has a member outside the largest component.
@@ -223,10 +289,7 @@ def open_pairs(held: list[tuple], percent: int) -> set[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     for i in outside.tolist():
         j = np.flatnonzero((component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-        j = j[(signature[j] != signature[i]).sum(axis=1) <= 2 * CHUNKS - 1]
-        if n[i] <= _HISTOGRAM_VALID and len(j):
-            both = np.minimum(histogram[j], histogram[i]).sum(axis=1, dtype=np.int64)
-            j = j[(100 * both >= percent * (n[j] + n[i] - both)) | (n[j] > _HISTOGRAM_VALID)]
+        j = j[_may_be_near(n[j], n[i], signature[j], signature[i : i + 1], histogram[j], histogram[i : i + 1], percent, chunks)]
         found.update((max(a, b), min(a, b)) for a, b in ((int(rep[i]), int(rep[k])) for k in j))
     return found
 
