@@ -6,8 +6,10 @@ its offset, with the dictionary at hand.  Payloads that occur more than once are
 id is a ``response``, the others are ``revisit`` records that refer to it.
 
 Which record comes first is settled by one aggregation over (digest, id), combined before its shuffle; the payloads
-move once, to the tasks that write.  Tasks write under a name of their own attempt and rename at the end, so a retried
-task replaces its file.  Files go to any store that ``pyarrow.fs`` opens; the folder must be shared by all executors.
+move once, to the tasks that write.  A file's name holds a random name of its task's attempt, so attempts never touch each
+other's files, however they divide the records; the files that count are those that the written table lists, and a file that
+it doesn't list is what a lost attempt left.  A file that is not finished ends in ``.part``.  Files go to any store that
+``pyarrow.fs`` opens; the folder must be shared by all executors.
 
 Defined cases.  A null payload is an empty one.  Rows that repeat the response's id and payload are
 responses too.  Null ids get records without a target id, after all others of their payload.  Payloads
@@ -150,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_c
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         context = TaskContext.get()
-        stem, attempt = f"{base}/part-{context.partitionId():06d}", uuid.uuid4().hex
+        stem = f"{base}/part-{context.partitionId():06d}-{uuid.uuid4().hex}"
         made, out, writer, n = [], None, None, 0
 
         def finish():
@@ -158,15 +160,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_c
             size = out.tell()
             out.close()
             target = f"{stem}-{len(made):04d}.warc.zst"
-            if fs.get_file_info(target).type == pafs.FileType.File:  # of an earlier attempt; not every store replaces files
-                fs.delete_file(target)
-            fs.move(f"{target}.{attempt}", target)
+            fs.move(f"{target}.part", target)
             made.append((target, n, size))
 
         for batch in batches:
             for page, uri, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    out = fs.open_output_stream(f"{stem}-{len(made):04d}.warc.zst.{attempt}", compression=None)
+                    out = fs.open_output_stream(f"{stem}-{len(made):04d}.warc.zst.part", compression=None)
                     writer, n = ArchiveWriter(out), 0
                 revisit = first is not None and page != first
                 name = base64.b32encode(bytes.fromhex(digest)).decode()
