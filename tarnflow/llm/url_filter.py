@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions joined on short hash prefixes.
 
 Each URL expands into all pairs of one of its host's suffixes (cut at dots) and one of its path's prefixes.  Each
-pair, written ``host`` + ``path``, is hashed; URLs meet rules by an equi-join on the first bytes of the hash, a pair
+pair, written ``host#path`` (neither part of a URL has a ``#``), is hashed; URLs meet rules by an equi-join on the first bytes of the hash, a pair
 counts only if the full digest agrees, and the longest rule decides.
 
 Only DataFrame functions are used; the plan is one join of the URLs' expressions with the rules, which Spark
@@ -9,7 +9,8 @@ broadcasts only while their measured size is under its own threshold.
 
 Defined cases.  Null URLs, and URLs without ``://``, have an empty host and path: no rule fits, and the default
 verdict holds.  Rows that occur more than once get one result each.  Rules whose host or path is null fit nothing.
-Of two rules of the same expression that disagree, block wins.  Other columns of the URLs are kept, also where their
+Of two rules of the same expression that disagree, block wins.  URLs of any length are read whole; an empty table, of URLs
+or of rules, is fine.  Other columns of the URLs are kept, also where their
 names clash with those of the rules; columns named like the results are replaced.
 """
 
@@ -49,7 +50,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     rules = rules.where("host is not null and path is not null and host <> ''").select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
     rules = rules.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))  # 'block' > 'allow'
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().toLocalIterator())
-    digest = F.sha2(F.concat("r_host", "r_path"), 256)
+    digest = F.sha2(F.concat_ws("#", "r_host", "r_path"), 256)
     rules = rules.withColumns({"r_digest": digest, "r_prefix": F.substring(digest, 1, PREFIX_HEX)})
 
     urls = split_url(pages.drop("host", "path", "rule", "verdict"), url_col)
@@ -59,7 +60,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         urls.select("host", "path").where("host <> ''").distinct()
         .withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
         .withColumn("cut", F.explode(cuts))
-        .withColumn("digest", F.sha2(F.concat("suffix", F.col("path").substr(F.lit(1), F.col("cut"))), 256))
+        .withColumn("digest", F.sha2(F.concat_ws("#", "suffix", F.col("path").substr(F.lit(1), F.col("cut"))), 256))
     )
     hits = expressions.join(rules, F.substring("digest", 1, PREFIX_HEX) == F.col("r_prefix")).where("digest = r_digest")
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))
