@@ -9,11 +9,13 @@ from pyspark import TaskContext
 
 @dataclass(frozen=True)
 class OperatorContext:
-    """worker_id: the partition, which stays the same in a retry; attempt: how often it was tried before."""
+    """worker_id: the partition, which stays the same in a retry; attempt: how often it was tried before; operator_id: the
+    operator's name, where it has one."""
 
     worker_id: int
     stage_id: int
     attempt: int
+    operator_id: str | None = None
 
 
 def operator_context() -> OperatorContext:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..stream import KEY, Stream
 
@@ -28,6 +29,12 @@ def key_distribute(stream: Stream, key: Column, workers: int | None = None, part
     return replace(stream, df=out.repartition(workers, KEY) if workers else out.repartition(KEY))
 
 
+def distribute(stream: Stream, workers: int | None = None, partitioner: Column | None = None) -> Stream:
+    """Sends each record to the partition of the key that it has."""
+    stream.need(KEY)
+    return key_distribute(stream, F.col(KEY), workers, partitioner)
+
+
 def unkey(stream: Stream) -> Stream:
     """Takes the key off."""
     return replace(stream, df=stream.df.drop(KEY))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..plans.places import written
 from ..plans.scan import Scan, numbered, scan
 from ..stream import EPOCH, EPOCH_BEFORE, KEY, SEQ, TS, Stream
 
@@ -84,20 +85,21 @@ def close_on_epoch(on_time: Stream, all_records: Stream, bucket: Callable[[Colum
 
     An emitted epoch closes all open groups whose bucket is at most its own; a record of a bucket that was closed
     opens it again, for a second result.  closed_at is the epoch, null if only the end of the stream closed the group.
-    ``all_records`` is the stream with its late records, since those move epochs too.
+    ``all_records`` is the stream with its late records, since those move epochs too; it is written to the shared folder, as it
+    is read for the epochs, for the buckets and for the records.  What each bucket's first epoch is takes a row a bucket.
     """
     on_time.need(KEY, SEQ, TS, EPOCH)
+    stamped = written(all_records.df, "stamped")
     moved = F.col(EPOCH).isNotNull() & (F.col(EPOCH_BEFORE).isNull() | (F.col(EPOCH) > F.col(EPOCH_BEFORE)))
-    steps = all_records.df.withColumn("__emitted", F.when(moved, F.col(SEQ)))
-    # The next emitted epoch at or after each record.  Epochs increase, so it is the first that could close the record ...
-    nexts = scan(steps, SEQ, {"__next": Scan("min", F.col("__emitted"))}, reverse=True)
-    emitted = steps.filter(moved).select(F.col(SEQ).alias("__at"), F.col(EPOCH).alias("closed_at"))
-    # ... if its bucket reaches the record's; else it is the first epoch whose bucket does.  One row for each bucket.
-    firsts = emitted.groupBy(bucket(F.col("closed_at")).alias("bucket")).agg(F.min("__at").alias("__first"))
-    days = on_time.df.select(bucket(F.col(TS)).alias("bucket")).distinct().withColumn("__first", F.lit(None).cast("long")).unionAll(firsts).groupBy("bucket").agg(F.min("__first").alias("__first"))
-    reach = days.select("bucket", F.min("__first").over(Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)).alias("__reach"))
+    emission = F.struct(F.col(SEQ).alias("at"), F.col(EPOCH).alias("epoch"))
     late = F.coalesce(F.col(TS) <= F.col(EPOCH_BEFORE), F.lit(False))
+    # The next emitted epoch at or after each record.  Epochs increase, so it is the first that could close the record ...
+    nexts = scan(stamped, SEQ, {"__next": Scan("min", F.when(moved, emission))}, reverse=True)
+    # ... if its bucket reaches the record's; else it is the first epoch whose bucket does.
+    firsts = stamped.filter(moved).groupBy(bucket(F.col(EPOCH)).alias("bucket")).agg(F.min(emission).alias("__first"))
+    buckets = stamped.filter(~late).select(bucket(F.col(TS)).alias("bucket")).distinct()
+    reach = buckets.join(firsts, "bucket", "full").select("bucket", F.min("__first").over(Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)).alias("__reach"))
     records = nexts.filter(~late).withColumn("bucket", bucket(F.col(TS))).join(reach, "bucket")
-    close = F.when(F.col("__reach") >= F.col(SEQ), F.col("__reach")).when(F.col("__reach").isNotNull(), F.col("__next"))
+    close = F.when(F.col("__reach.at") >= F.col(SEQ), F.col("__reach")).when(F.col("__reach").isNotNull(), F.col("__next"))
     grouped = records.withColumn("__close", close).groupBy(KEY, "bucket", "__close").agg(*aggregates)
-    return grouped.join(emitted, F.col("__close") == F.col("__at"), "left").drop("__close", "__at")
+    return grouped.withColumn("closed_at", F.col("__close.epoch")).drop("__close")

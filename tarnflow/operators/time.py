@@ -60,14 +60,14 @@ class NeedsEpochs:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
         df = self.stream.df.repartition(1).sortWithinPartitions(SEQ).mapInArrow(fold, schema)
-        late = F.coalesce(F.col(TS) <= F.col(EPOCH_BEFORE), F.lit(False))
-        return replace(self.stream, df=df.filter(~late)), replace(self.stream, df=df.filter(late))
+        late, clock = F.coalesce(F.col(TS) <= F.col(EPOCH_BEFORE), F.lit(False)), object()
+        return replace(self.stream, df=df.filter(~late), clock=clock), replace(self.stream, df=df.filter(late), clock=clock)
 
 
 def assign_timestamps(stream: Stream, timestamp: Column) -> NeedsEpochs:
     """New timestamps; epochs of the old ones are dropped."""
     stream.need(SEQ)
-    return NeedsEpochs(replace(stream, df=stream.df.drop(EPOCH_BEFORE, EPOCH).withColumn(TS, timestamp)))
+    return NeedsEpochs(replace(stream, clock=None, df=stream.df.drop(EPOCH_BEFORE, EPOCH).withColumn(TS, timestamp)))
 
 
 def limit_out_of_orderness(bound) -> Column:
@@ -78,7 +78,7 @@ def limit_out_of_orderness(bound) -> Column:
 def epochs(stream: Stream, candidate: Column) -> Stream:
     """The stream with the epoch before and after each record, late ones included."""
     stream.need(SEQ, TS)
-    return replace(stream, df=scan(stream.df, SEQ, {EPOCH_BEFORE: Scan("max", candidate, exclusive=True), EPOCH: Scan("max", candidate)}))
+    return replace(stream, clock=object(), df=scan(stream.df, SEQ, {EPOCH_BEFORE: Scan("max", candidate, exclusive=True), EPOCH: Scan("max", candidate)}))
 
 
 def frontier(stream: Stream) -> DataFrame:

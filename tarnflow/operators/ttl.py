@@ -12,6 +12,7 @@ from dataclasses import replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.places import written
 from ..plans.scan import Scan, ranges, scan
 from ..stream import EPOCH_BEFORE, KEY, RANGE, SEQ, TS, Stream
 from .stateful import stateful_map
@@ -20,8 +21,9 @@ from .stateful import stateful_map
 def ttl_running(stream: Stream, ttl: Column, **scans: Scan) -> Stream:
     """Running aggregates of each key that start anew once the key's last entry has expired."""
     stream.need(KEY, SEQ, TS, EPOCH_BEFORE)
-    # The key's last timestamp by arrival, as a scan, so that a hot key's rows need not meet in one task.
-    df = stream.df if RANGE in stream.df.columns else ranges(stream.df, SEQ)
+    # The key's last timestamp by arrival, as a scan, so that a hot key's rows need not meet in one task.  Written, so that the
+    # scans that follow don't make it anew.
+    df = written(stream.df if RANGE in stream.df.columns else ranges(stream.df, SEQ), "ttl-input")
     df = scan(df, SEQ, {"__last": Scan("max", F.struct(SEQ, TS), exclusive=True)}, (KEY,))
     last = F.col("__last")[TS]
     lives = F.coalesce((last + ttl > F.col(EPOCH_BEFORE)) | (last.isNotNull() & F.col(EPOCH_BEFORE).isNull()), F.lit(False))
@@ -35,6 +37,11 @@ def ttl_fold(stream: Stream, ttl, function: Callable[[object, dict, dict], tuple
     Entries are pruned before each record; ``ttl`` is a number or a timedelta.
     """
     stream.need(KEY, SEQ, TS, EPOCH_BEFORE)
+    return stateful_map(stream, expiring(ttl, function), schema, dict)
+
+
+def expiring(ttl, function: Callable[[object, dict, dict], tuple[dict, dict | None]]) -> Callable:
+    """The step of a stateful map whose state is a dict of (value, timestamp): entries that have expired are gone before it."""
 
     def step(key, record, entries):
         epoch = record[EPOCH_BEFORE]
@@ -43,7 +50,7 @@ def ttl_fold(stream: Stream, ttl, function: Callable[[object, dict, dict], tuple
         result, entries = function(key, record, entries)
         return result, entries or None
 
-    return stateful_map(stream, step, schema, dict)
+    return step
 
 
 def ttl_window(stream: Stream, ttl_seconds: float, horizon_seconds: float | None = None, slack_seconds: float | None = None, entry: Column | None = None, **aggregates: Callable[[Column, Column], Column]) -> Stream:
@@ -56,11 +63,12 @@ def ttl_window(stream: Stream, ttl_seconds: float, horizon_seconds: float | None
     work is spread over its buckets.  Records before the first epoch meet all of their key's, unless there is a horizon.
     """
     stream.need(KEY, SEQ, TS, EPOCH_BEFORE)
+    # Written, since it is read as records, as entries and for the result.
+    stream = replace(stream, df=written(stream.df if RANGE in stream.df.columns else ranges(stream.df, SEQ), "ttl-input"))
     width = max(1.0, ttl_seconds / 8)
     second = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
     time, epoch = second(F.col(TS)), second(F.col(EPOCH_BEFORE))
-    df = stream.df if RANGE in stream.df.columns else ranges(stream.df, SEQ)
-    df = scan(df, SEQ, {"__youngest": Scan("max", F.col(TS), exclusive=True)}, (KEY,))
+    df = scan(stream.df, SEQ, {"__youngest": Scan("max", F.col(TS), exclusive=True)}, (KEY,))
     entries = stream.df.select(F.col(KEY).alias("__k"), F.floor(time / width).alias("__place"), time.alias("__t"), F.col(SEQ).alias("__s"), (F.lit(1) if entry is None else entry).alias("__v"))
     oldest, youngest = epoch - ttl_seconds, second(F.col("__youngest"))
     within = F.col("__s") <= F.col(SEQ)

@@ -161,6 +161,19 @@ select k, sum(event_id)::bigint as id_sum, max(event_id) as closed_at from (sele
     "stream_late": """
 select event_id from (select event_id, ts, max(ts - interval 1 hour) over (order by seq rows between unbounded preceding and 1 preceding) as ep from (select *, row_number() over (order by event_id + case when event_id%7=0 then 20 else 0 end, event_id)-1 as seq from events)) where (ep is not null and ts <= ep)
 """,
+    "stateless_epochs": """
+select count(*) as events, count(distinct event_id) as "different", count(*)::bigint as counted from (select event_id, ts, max(ts - interval 1 hour) over (order by seq rows between unbounded preceding and 1 preceding) as ep from (select *, row_number() over (order by event_id + case when event_id%7=0 then 20 else 0 end, event_id)-1 as seq from events)) where not (ep is not null and ts <= ep)
+""",
+    "src_resume": """
+select p.range::varchar as k, v.range as value from range(3) p, range(25) v
+""",
+    "src_file_lines": """
+select event_type as k, row_number() over (partition by event_type order by event_id) - 1 as ts, event_id::varchar as value from events
+""",
+    "sink_numbered_files": """
+select event_type as part, row_number() over (partition by event_type order by event_id) - 1 as line_no, event_id as value from events
+""",
+    # Ten transactions of a public example of event time.
     "monthly_balance": """
 with s as (select seq, ts, amount, (date_trunc('month', ts) - interval 1 day)::date as cand from (values (0, date '2025-01-01', 1000), (1, date '2025-01-05', -20), (2, date '2025-01-17', -150), (3, date '2025-02-04', -300), (4, date '2025-02-16', 60), (5, date '2025-02-25', 75), (6, date '2025-03-16', -55), (7, date '2025-03-31', 200), (8, date '2025-04-05', -10), (9, date '2025-04-19', -5)) t(seq, ts, amount)),
  p as (select *, max(cand) over (order by seq rows unbounded preceding) as e, max(cand) over (order by seq rows between unbounded preceding and 1 preceding) as pe from s),
@@ -177,8 +190,13 @@ with s as (select seq, ts, amount, (ts - interval 62 day)::date as cand from (va
  cl as (select ok.seq, ok.ts, ok.amount, ok.d, min(ep.seq) as close_seq from ok left join ep on ep.seq >= ok.seq and date_trunc('month', ep.e) >= ok.d group by ok.seq, ok.ts, ok.amount, ok.d)
  select year(cl.ts)::int as year, month(cl.ts)::int as month, sum(amount)::bigint as balance, max(ep.e)::date as closed_at from cl left join ep on ep.seq = cl.close_seq group by year(cl.ts), month(cl.ts), close_seq
 """,
+    # Five words of a public example of expiring state.
     "ttl_concat": """
 with s as (select seq::bigint as seq, w, lag(seq) over (order by seq) as pe from (values (0, 'foo'), (1, 'bar'), (2, 'hello'), (3, 'world'), (4, 'baz')) t(seq, w))
  select a.seq, string_agg(b.w, '|' order by b.seq) as value from s a join s b on b.seq <= a.seq and (b.seq = a.seq or a.pe is null or b.seq + 2 > a.pe) group by a.seq
 """,
 }
+
+# The same dataflows, run in another way.
+ORACLE_SQL["stream_ttl_running_total"] = ORACLE_SQL["ttl_running_total"]
+ORACLE_SQL["stream_daily_balance"] = ORACLE_SQL["stateful_daily_balance"] = ORACLE_SQL["daily_balance"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Row
 
 from ..stream import RANGE, SEQ, Stream
@@ -11,7 +13,7 @@ class VecSink:
     """Holds the records given to it; iterating or draining takes them out."""
 
     def __init__(self):
-        self.rows: list[Row] = []
+        self.rows: deque[Row] = deque()
 
     def give(self, *rows: Row) -> None:
         self.rows.extend(rows)
@@ -23,13 +25,18 @@ class VecSink:
         return self
 
     def drain_vec(self, start: int = 0, stop: int | None = None) -> list[Row]:
-        taken = self.rows[start:stop]
-        del self.rows[start:stop]
+        rows = list(self.rows)
+        taken = rows[start:stop]
+        del rows[start:stop]
+        self.rows = deque(rows)
         return taken
 
+    def consume_stream(self, name: str, stream: Stream, client: object = None) -> None:
+        self.collect(stream)
+
     def __iter__(self):
         while self.rows:
-            yield self.rows.pop(0)
+            yield self.rows.popleft()
 
     def __len__(self) -> int:
         return len(self.rows)

@@ -23,3 +23,13 @@ def print_records(stream: Stream, value: Column | str = "value") -> None:
     lines = stream.df.withColumn("__line", formatted(stream, value))
     for row in (lines.orderBy(SEQ) if SEQ in lines.columns else lines).select("__line").toLocalIterator():
         print(row[0])
+
+
+class StdOutSink:
+    """``print_records`` as a sink of programs."""
+
+    def __init__(self, value: Column | str = "value"):
+        self.value = value
+
+    def consume_stream(self, name: str, stream: Stream, client: object = None) -> None:
+        print_records(stream, self.value)

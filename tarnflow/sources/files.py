@@ -12,11 +12,15 @@ from ..stream import KEY, SEQ, TS, Stream
 def file_lines(spark: SparkSession, *paths: str) -> Stream:
     """_key: the file; _ts and _seq: the 0-based line; value: the text.
 
-    Each file is read whole by one task, since only that knows its lines' numbers; give large inputs as many files.
+    Large files are read in blocks, by many tasks.  Lines are numbered within their block, and blocks by what comes before them in
+    their file, which takes a row a block.
     """
-    whole = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias(KEY), F.regexp_replace("value", r"\r?\n\z", "").alias("text"))
-    lines = whole.select(KEY, F.posexplode(F.split("text", r"\r?\n", -1)).alias(TS, "value"))
-    return Stream(lines.withColumn(TS, F.col(TS).cast("long")).withColumn(SEQ, F.col(TS)))
+    read = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias(KEY), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__place"), "value")
+    before = Window.partitionBy("__file").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = read.groupBy(F.col(KEY).alias("__file"), F.col("__block").alias("__of")).count().select("__file", "__of", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(KEY, "__block").orderBy("__place")) - 1
+    lines = read.withColumn("__nth", nth).join(blocks, (F.col(KEY) == F.col("__file")) & (F.col("__block") == F.col("__of")))
+    return Stream(lines.select(KEY, (F.col("__nth") + F.col("__before")).cast("long").alias(TS), "value").withColumn(SEQ, F.col(TS)))
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> Stream:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ class Stream:
 
     df: DataFrame
     names: frozenset[str] = frozenset()
+    #: Which generator the epochs are from: streams that share it have the same epochs, as branches of a split have.
+    clock: object = field(default=None, compare=False)
 
     # -- construction ---------------------------------------------------------------------------------------------
     def then(self, name: str, plan: Callable[[DataFrame], DataFrame]) -> Stream:

@@ -43,7 +43,7 @@ def test_epochs_are_stamped_record_by_record(spark, tmp_path):
     rows = [(i, t, 0, t) for i, t in enumerate(times)]
     for part in (rows[:3], rows[3:6], rows[6:]):
         _write(spark, source, part)
-        run_available(stamp_epochs(_arrivals(spark, source), lambda r: r["_ts"] - 5), checkpoint, out)
+        run_available(stamp_epochs(_arrivals(spark, source), lambda r, epoch: r["_ts"] - 5), checkpoint, out)
     stamped = spark.read.parquet(out)
     bounded = ops.epochs(Stream(spark.createDataFrame(rows, "_seq long, _ts long, _key long, value long")), F.col(TS) - 5)
     columns = [SEQ, TS, EPOCH_BEFORE, EPOCH]
