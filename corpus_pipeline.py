@@ -62,7 +62,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packed", packed),
 ]
 
-#: No stage but the fourth could be written in SQL; each is tested against a brute-force version instead.
+#: SQL can't express the first stage, a model's predictions, nor the last, the vocabulary's ids, so it can't express run()'s
+#: rows.  Each stage is tested against a brute-force version instead, on what the one before it kept.
 ORACLE_SQL = None
 
 
