@@ -10,9 +10,9 @@ every pair that differs in up to 27 symbols and misses 1 in 70,000.
 
 Links are confirmed on full sets of 64-bit shingle hashes.  What is wanted is connectivity, so pairs are not enumerated
 within groups of copies: first each class is held against the least class of the bucket it shares most keys with, and
-joined to it if similar.  Then every bucket that still holds several components gets a centre, drawn anew in each round, and
-its members of other components are held against that, for as long as a round settles a tenth of what is open.  Only then pairs within a bucket that are
-in different components are compared: bounds that are exact (sizes, and counts of hashes by their first byte, which bound the
+joined to it if similar.  Then every large bucket that still holds several components gets a centre, drawn anew in each round,
+and its members of other components are held against that, for as long as a round settles a tenth of what is open.  Only then
+pairs within a bucket that are in different components are compared: bounds that are exact (sizes, and counts of hashes by their first byte, which bound the
 intersection from above) rule out most, full sets decide the rest.  Large buckets are split into blocks.
 
 Defined cases.  Null texts and texts without words have an empty set, are linked with nothing, and are kept.  Texts with
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._features import parts, release_memory
 from ._tables import NULL_ID, keyed, written
 from ._text import Words, grams, mix64
-from .components import components
+from .components import components, merged
 
 BITS = 16
 MISSED = 2e-5  # chance that a pair right at the similarity asked for is beyond the signatures' threshold
@@ -211,32 +211,34 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
         return pairs.mapInArrow(compare, "a long, b long")
 
     def still_open(rows: DataFrame) -> DataFrame:
-        """key, rep and component of the members of buckets that are in several components."""
+        """key, rep and component of the members of buckets that are in several components, and n, their bucket's size.  Of
+        buckets that have the same members, as neighbouring keys often do, one is left."""
         placed = rows.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        several = placed.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).where("lowest <> highest").select("key")
-        return written(placed.join(written(several, "several"), "key", "left_semi"), "open")
-
-    links = written(confirmed(nearest), "near-1")
-    groups = components(links)
-    open_rows, turn = still_open(shared), 0
-    before, left = 0, open_rows.count()
-    while left and (not turn or 10 * left <= 9 * before):
+        members = [F.bit_xor(F.xxhash64("rep", F.lit(salt))).alias(f"members_{salt}") for salt in (1, 2)]
+        several = placed.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.count("*").alias("n"), *members).where("lowest <> highest")
+        several = written(several.groupBy("n", "members_1", "members_2").agg(F.min("key").alias("key")).select("key", "n"), "several")
+        return written(placed.join(several, "key"), "open")
+
+    groups = components(written(confirmed(nearest), "near-1"))
+    open_rows = still_open(shared)
+    turn, before = 0, 0
+    while left := (crowd := open_rows.where(F.col("n") > BLOCK)).count():
+        # Large buckets get a centre each, and each of their members the centre that most of its buckets have, if it is of another
+        # component.
         turn += 1
-        # A centre for each bucket, and for each member the centre that most of its buckets have, if it is of another component.
-        centre = written(open_rows.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("centre")), "centres")
-        votes = open_rows.join(centre, "key").where("component <> centre.component").groupBy("rep", F.col("centre.rep").alias("centre")).count()
+        if turn > 1 and 10 * left > 9 * before:
+            break  # the last round settled too little for another one
+        centre = written(crowd.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("centre")), "centres")
+        votes = crowd.join(centre, "key").where("component <> centre.component").groupBy("rep", F.col("centre.rep").alias("centre")).count()
         chosen = votes.groupBy("rep").agg(F.max_by("centre", F.struct("count", "centre")).alias("other")).select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
         more = written(confirmed(possible(chosen)), "near-2")
         if more.isEmpty():
-            break  # what is open stays so
-        links = links.unionAll(more)
-        groups = components(links)
-        open_rows, before = still_open(open_rows), left
-        left = open_rows.count()
+            break
+        before, groups = left, merged(groups, more)
+        open_rows = still_open(open_rows)
 
     # The pairs of buckets whose members are in several components still.
-    spread = written(open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "spread")
-    in_blocks = open_rows.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    in_blocks = open_rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A bucket of several blocks: each row goes to the pairs of its own block and every other one.
     grid = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("piece", F.struct(F.least("block", "other"), F.greatest("block", "other")))
     cells = grid.join(bounds.withColumnRenamed("doc", "rep"), "rep").select("key", F.xxhash64("key", "piece").alias("piece"), "rep", "component", "n", "signature", "histogram")
@@ -257,7 +259,7 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
 
     pairs = cells.repartition(F.col("piece")).sortWithinPartitions("piece", "key", "rep").mapInArrow(enumerate_cells, "a long, b long").distinct()
     last = written(confirmed(pairs), "near-3")
-    final = (groups if last.isEmpty() else components(links.unionAll(last))).select(F.col("node").alias("rep"), F.col("component"))
+    final = (groups if last.isEmpty() else merged(groups, last)).select(F.col("node").alias("rep"), F.col("component"))
     result = member.join(final, "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
     if plain:
         named = result.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "n", "doc", F.nullif("component", F.lit(NULL_ID)).alias("component_id"), "component")  # the id is never NULL_ID here
