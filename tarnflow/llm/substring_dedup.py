@@ -147,7 +147,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
             del row["kept"]
         return row
 
-    return repeated(docs, Frame("word", window, gram), decide_by_automaton(window), cut, schema + ", kept string" * keep_text, id_col, text_col, carry)
+    return repeated(docs, Frame("word", window, gram), decide_by_automaton(window), True, cut, schema + ", kept string" * keep_text, id_col, text_col, carry)
 
 
 def against_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -216,4 +216,4 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
             del row["kept"]
         return row
 
-    return repeated(docs, Frame("byte", window, gram), decide_by_suffix_array(window), cut, schema + ", kept string" * keep_text, id_col, text_col, carry)
+    return repeated(docs, Frame("byte", window, gram), decide_by_suffix_array(window), False, cut, schema + ", kept string" * keep_text, id_col, text_col, carry)
