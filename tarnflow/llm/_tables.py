@@ -1,14 +1,14 @@
-"""Reading tables, and where intermediate results may be written."""
+"""Reading tables, numbering documents, and where intermediate results are written."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.places import shared_dir, work_dir, written
+
+__all__ = ["NULL_ID", "bound_batches", "discard", "keyed", "shared_dir", "table", "work_dir", "written"]
+
 NULL_ID = -(1 << 63)  # stands for a null document id
 
 
@@ -29,47 +29,6 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(name, most)
 
 
-_local: list[str] = []  # the folder of a session that runs on one machine and has none
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.  Where that is unset, a session that runs
-    within one process (as tests do) gets a temporary folder; on a cluster that is an error."""
-    context = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not place:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _local:
-            _local.append(f"file://{tempfile.mkdtemp(prefix='tarnflow-')}")
-        place = _local[0]
-    return place.rstrip("/")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder of this application's intermediate tables; it can be deleted once the application has ended."""
-    return f"{shared_dir(spark)}/tarnflow/{spark.sparkContext.applicationId}"
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read back: cuts the lineage and survives lost executors.
-
-    The shuffle files of the job are deleted when it ends, since nothing reads them after that.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made and that nothing reads any more."""
     for df in tables:

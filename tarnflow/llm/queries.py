@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +76,7 @@ select c.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, c.doc_id
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    folder = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = work_dir(spark, "warc")
     files = written(warc.write_archives(pages, folder), "warc-files")
     return warc.read_archives(files, folder).select(
         F.col("id").cast("long").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),

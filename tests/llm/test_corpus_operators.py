@@ -2,7 +2,6 @@
 
 import base64
 import hashlib
-import itertools
 import random
 import zlib
 
@@ -10,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.llm import decontaminate, fingerprint, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
-from tarnflow.llm.components import components
+from tarnflow.llm.components import components, merged
+
+from brute import brute_bytes, brute_near, brute_words
 
 DOCS = "doc_id long, text string"
 CLASH = ["score", "doc", "kind", "path", "place", "rest", "key", "text2"]
@@ -44,42 +45,9 @@ def with_clashes(df):
     return df.withColumns({c: F.lit(None).cast("string") for c in CLASH})
 
 
-def brute_words(docs, window):
-    seen, out = set(), {}
-    for i, text in sorted(docs, key=lambda d: d[0]):
-        words = (text or "").encode().split()
-        gone = set()
-        for s in range(len(words) - window + 1):
-            w = tuple(words[s : s + window])
-            if w in seen:
-                gone.update(range(s, s + window))
-            seen.add(w)
-        kept = b" ".join(w for n, w in enumerate(words) if n not in gone)
-        out[i] = (len(words), len(gone), hashlib.sha256(kept).hexdigest())
-    return out
-
-
-def brute_bytes(docs, window):
-    count = {}
-    for _, text in docs:
-        data = (text or "").encode()
-        for s in range(len(data) - window + 1):
-            count[data[s : s + window]] = count.get(data[s : s + window], 0) + 1
-    out = {}
-    for i, text in docs:
-        data = (text or "").encode()
-        gone = [False] * len(data)
-        for s in range(len(data) - window + 1):
-            if count[data[s : s + window]] > 1:
-                gone[s : s + window] = [True] * window
-        spans = sum(1 for n, g in enumerate(gone) if g and (n == 0 or not gone[n - 1]))
-        out[i] = (len(data), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(data, gone, strict=True) if not g)).hexdigest())
-    return out
-
-
-@pytest.mark.parametrize("crowd", [256, 0])
+@pytest.mark.parametrize("crowd", [256, 2])
 def test_repeated_word_windows(spark, corpus, monkeypatch, crowd):
-    monkeypatch.setattr("tarnflow.llm._repeats.CROWD", crowd)  # 0: every anchor is split, down to single windows
+    monkeypatch.setattr("tarnflow.llm._repeats.CROWD", crowd)
     df = with_clashes(spark.createDataFrame(corpus, DOCS))
     out = substring_dedup.remove_repeated(df)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.collect()} == brute_words(corpus, 20)
@@ -87,7 +55,7 @@ def test_repeated_word_windows(spark, corpus, monkeypatch, crowd):
 
 @pytest.mark.parametrize("crowd", [256, 0])
 def test_repeated_byte_windows(spark, corpus, monkeypatch, crowd):
-    monkeypatch.setattr("tarnflow.llm._repeats.CROWD", crowd)
+    monkeypatch.setattr("tarnflow.llm._repeats.CROWD", crowd)  # 0: every anchor is split, down to single windows
     df = with_clashes(spark.createDataFrame(corpus, DOCS))
     out = suffix_dedup.remove_repeated(df, carry=True)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()}
@@ -140,27 +108,7 @@ def test_against_a_broadcast_reference(spark, corpus, monkeypatch):
         substring_dedup.against_reference(spark.createDataFrame(corpus, DOCS), reference)
 
 
-def brute_near(docs, k, percent):
-    sets = {}
-    for i, text in docs:
-        w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in (text or "").encode().decode().split()] if text is None or text.isascii() else [x.decode().lower() for x in text.encode().split()]
-        sets[i] = {tuple(w[s : s + k]) for s in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
-    parent = {i: i for i in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a, b in itertools.combinations(sorted(sets), 2):
-        both = len(sets[a] & sets[b])
-        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
-    return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
-
-
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, cases=((4, 80), (3, 60))):
     draw = random.Random(9)
     docs = [(i, prose(draw, draw.randint(1, 60))) for i in range(40)]
     base = prose(draw, 120).split()
@@ -170,7 +118,7 @@ def test_near_duplicates(spark):
             w[at] = f"e{i}x{at}"
         docs.append((100 + i, " ".join(w)))
     docs += [(200, ""), (201, None), (202, "one"), (203, "One"), (204, "a b c"), (205, "A B C"), (206, docs[0][1].upper()), (207, prose(draw, 30_000, 9_000))]
-    for k, percent in ((4, 80), (5, 80), (3, 60)):
+    for k, percent in cases:
         out = near_dedup.near_duplicates(with_clashes(spark.createDataFrame(docs, DOCS)), k, percent)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out.collect()}
         expected = brute_near(docs, k, percent)
@@ -187,7 +135,7 @@ def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
 
 def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    test_near_duplicates(spark)
+    test_near_duplicates(spark, ((5, 80),))
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -214,6 +162,9 @@ def test_components(spark):
                 changed = True
     assert got == expected
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    some, more = links[::2], links[1::2]
+    both = merged(components(spark.createDataFrame(some, "a long, b long")), spark.createDataFrame([x for x in more if None not in x], "a long, b long"))
+    assert {r["node"]: r["component"] for r in both.collect()} == expected
 
 
 def test_benchmark_leaks(spark):
