@@ -200,3 +200,4 @@ with s as (select seq::bigint as seq, w, lag(seq) over (order by seq) as pe from
 # The same dataflows, run in another way.
 ORACLE_SQL["stream_ttl_running_total"] = ORACLE_SQL["ttl_running_total"]
 ORACLE_SQL["stream_daily_balance"] = ORACLE_SQL["stateful_daily_balance"] = ORACLE_SQL["daily_balance"]
+ORACLE_SQL["union_epochs"] = ORACLE_SQL["union_frontier"]

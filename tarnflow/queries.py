@@ -8,7 +8,7 @@ from pyspark.sql.types import LongType
 
 from . import functions as fn
 from . import operators  # noqa: F401  attaches the operators to Stream
-from .operators import StatefulLogic, StatelessLogic, epochs, limit_out_of_orderness
+from .operators import StatefulLogic, StatelessLogic, epochs, limit_out_of_orderness, union_frontier
 from .persistence import FolderBackend
 from .plans.places import work_dir
 from .plans.scan import Scan
@@ -133,7 +133,14 @@ def union_all(spark, sf_dir):
 
 
 def union_frontier_q(spark, sf_dir):
-    """Odd and even events as two streams with epochs of their own, each the event's time."""
+    """Odd and even events as two inputs with epochs of their own, each the event's time."""
+    arrivals = _events(spark, sf_dir, False, "event_id", "ts").df.withColumn("src", F.col("event_id") % 2)
+    met = union_frontier(arrivals, "src", "ts", [0, 1])
+    return met.filter("frontier is not null").select(F.col("frontier").alias("epoch")).distinct()
+
+
+def union_epochs(spark, sf_dir):
+    """The same, as a union of two streams."""
     parts = [_events(spark, sf_dir, False, "event_id", "ts").filter(F.col("event_id") % 2 == r).assign_timestamps(F.col("ts")).stream for r in (0, 1)]
     one, other = (epochs(p, F.col(TS)) for p in parts)
     return one.union(other).inspect_frontier()
@@ -518,7 +525,7 @@ QUERIES = {
     f.__name__.removesuffix("_q"): f
     for f in (
         src_iter, src_lines, kafka_map, map_double, map_upper, filter_lt, filter_map_parse, flatten_words, flatten_keyed, custom_flatten, inspect_metrics, split_flags, split_even_odd, cloned_two, union_all,
-        union_frontier_q, key_local, key_counts, index_select, skew_route, rendezvous_stable, running_sum, running_sum_parity, running_extremes, concat_reset, batch_n, flush_max, assign_ts, epochs_monotonic,
+        union_frontier_q, union_epochs, key_local, key_counts, index_select, skew_route, rendezvous_stable, running_sum, running_sum_parity, running_extremes, concat_reset, batch_n, flush_max, assign_ts, epochs_monotonic,
         late_split_on_time, late_split_late, late_orders_365d, frontier, daily_balance, daily_balance_ooo, daily_balance_late, monthly_orders, ttl_count, ttl_running_total, sink_line_numbers, sink_stdout_fmt,
         stream_running_sum, stream_batch_n, stream_late, stream_ttl_running_total, stream_daily_balance, stateful_daily_balance, stateless_epochs, src_resume, src_file_lines, sink_numbered_files, monthly_balance, monthly_balance_ooo, ttl_concat,
     )
