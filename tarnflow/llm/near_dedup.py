@@ -11,9 +11,12 @@ every pair that differs in up to 27 symbols and misses 1 in 70,000.
 Links are confirmed on full sets of 64-bit shingle hashes.  What is wanted is connectivity, so pairs are not enumerated
 within groups of copies: first each class is held against the least class of the bucket it shares most keys with, and
 joined to it if similar.  Then every large bucket that still holds several components gets a centre, drawn anew in each round,
-and its members of other components are held against that, for as long as a round settles a tenth of what is open.  Only then
+and its members of other components are held against that, for as long as a round settles a tenth of what is open.  What large
+buckets still hold is split by elements of the full sets, which loses no similar pair: first by the rarest ones of each set, then, where a
+bucket stays large, by the rarest ones in which a set and a central member of the bucket differ, for as long as a round halves the pairs.  Only then
 pairs within a bucket that are in different components are compared: bounds that are exact (sizes, and counts of hashes by their first byte, which bound the
-intersection from above) rule out most, full sets decide the rest.  Large buckets are split into blocks.
+intersection from above) rule out most, full sets decide the rest.  Buckets that are large even then are split into blocks, each held
+against each other, which takes rows by the square of their size.
 
 Defined cases.  Null texts and texts without words have an empty set, are linked with nothing, and are kept.  Texts with
 fewer words than a shingle have their word sequence as the only element; texts of any length are read whole.  Rows of one id
@@ -25,10 +28,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._features import parts, release_memory
@@ -40,6 +44,7 @@ BITS = 16
 MISSED = 2e-5  # chance that a pair right at the similarity asked for is beyond the signatures' threshold
 LAYOUTS = (64, 128, 256)  # numbers of symbols that a signature may have
 BLOCK = 1024  # members of a bucket that are compared with as many others in one piece
+DRAWN = 64  # members of a large bucket of which its centre is the most central one
 _LONG = pa.int64()
 _FULL = 255  # a count of a histogram that may be larger
 
@@ -211,16 +216,35 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
         return pairs.mapInArrow(compare, "a long, b long")
 
     def still_open(rows: DataFrame) -> DataFrame:
-        """key, rep and component of the members of buckets that are in several components, and n, their bucket's size.  Of
+        """key, rep, short and component of the members of buckets that are in several components, and n, their bucket's size.  Of
         buckets that have the same members, as neighbouring keys often do, one is left."""
-        placed = rows.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        members = [F.bit_xor(F.xxhash64("rep", F.lit(salt))).alias(f"members_{salt}") for salt in (1, 2)]
-        several = placed.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.count("*").alias("n"), *members).where("lowest <> highest")
-        several = written(several.groupBy("n", "members_1", "members_2").agg(F.min("key").alias("key")).select("key", "n"), "several")
-        return written(placed.join(several, "key"), "open")
+        placed = rows.select("key", "rep", "short").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "short", F.coalesce("component", "rep").alias("component"))
+        members = [F.bit_xor(F.xxhash64("rep", "short", F.lit(salt))).alias(f"members_{salt}") for salt in (1, 2)]
+        several = placed.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max("short").alias("any_short"), F.count("*").alias("n"), *members)
+        several = several.where("lowest <> highest and any_short").groupBy("n", "members_1", "members_2").agg(F.min("key").alias("key"))
+        return written(placed.join(written(several.select("key", "n"), "several"), "key"), "open")
+
+    def set_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each row's set, x, the elements that it or its centre's set, y, has alone, and the lengths of prefixes; and where the two
+        are similar but in different components, their link (a, b)."""
+        for batch in batches:
+            elements, short, long, a = [], [], [], []
+            for rep, x, y, other in zip(batch.column("rep").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), (batch.column("component").to_numpy() != batch.column("of_b").to_numpy()).tolist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                alone = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(alone)) // 2
+                near = 100 * both >= percent * (both + len(alone))
+                elements.append(alone.tobytes())
+                # Similar sets differ in (1 - s) / s of either's size at most, and so do these differences; the smaller difference has at most
+                # half of that alone.  One that is similar to the centre is only held against others, which are farther from the centre.
+                long.append((len(alone) * (100 + percent) + (len(x) - len(y)) * (100 - percent)) // (2 * (100 + percent)) if near else len(x) * (100 - percent) // percent)
+                short.append(long[-1] if near else len(x) * (100 - percent) // (2 * percent))
+                a.append(rep if near and other else None)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rep"), pa.array(elements, pa.binary()), *(pa.array(x, _LONG) for x in (short, long, a)), batch.column("b")], ["key", "rep", "elements", "short", "long", "a", "b"])
+            release_memory()
 
     groups = components(written(confirmed(nearest), "near-1"))
-    open_rows = still_open(shared)
+    open_rows = still_open(shared.withColumn("short", F.lit(True)))
     turn, before = 0, 0
     while left := (crowd := open_rows.where(F.col("n") > BLOCK)).count():
         # Large buckets get a centre each, and each of their members the centre that most of its buckets have, if it is of another
@@ -237,17 +261,52 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
         before, groups = left, merged(groups, more)
         open_rows = still_open(open_rows)
 
+    # What is left of large buckets is split by elements of the full sets: see ``_prefixes``.
+    rest = open_rows.where(F.col("n") > BLOCK)
+    if weight := _weight(rest):
+        done, own = [open_rows.where(F.col("n") <= BLOCK)], sets.withColumnRenamed("doc", "rep")
+        whole = rest.select("rep").distinct().join(own, "rep").select(F.lit(0).cast("long").alias("key"), "rep", F.col("shingles").alias("elements"))
+        size = F.expr("length(elements) div 8")
+        # Of similar full sets, the smaller has at most (1 - s) / (1 + s) of its size alone, either one 1 - s.
+        held = whole.withColumn("short", F.floor(size * (100 - percent) / (100 + percent))).withColumn("long", F.floor(size * (100 - percent) / 100))
+        finer = still_open(_prefixes(written(held, "whole-sets")))
+        if (least := _weight(finer.where(F.col("n") > BLOCK))) < weight:
+            done.append(finer.where(F.col("n") <= BLOCK))
+            rest, weight = finer.where(F.col("n") > BLOCK), least
+        while weight:
+            # Large buckets with many members in common are one, as far as the member with the least hash tells.  Each gets a centre
+            # again, and its members are known by what sets them apart from it.
+            name = written(rest.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep")).alias("name")), "names")
+            wide = written(rest.join(name, "key").groupBy(F.col("name").alias("key"), "rep").agg(F.first("component").alias("component")), "wide")
+            drawn = wide.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep"))).where(F.col("turn") <= DRAWN)
+            centre = written(drawn.select("key", "rep", "component").join(own, "rep").groupBy("key").applyInArrow(_most_central, "key long, b long, of_b long, y binary"), "centres")
+            apart = wide.join(own.withColumnRenamed("shingles", "x"), "rep").join(centre, "key")
+            apart = written(apart.mapInArrow(set_apart, "key long, rep long, elements binary, short long, long long, a long, b long"), "apart")
+            more = written(apart.where("a is not null").select("a", "b").distinct(), "near-4")
+            if not more.isEmpty():
+                groups = merged(groups, more)
+            finer = still_open(_prefixes(apart))
+            if 2 * (least := _weight(finer.where(F.col("n") > BLOCK))) > weight:
+                break  # the round split too little for another one: the rest is compared in blocks
+            done.append(finer.where(F.col("n") <= BLOCK))
+            rest, weight = finer.where(F.col("n") > BLOCK), least
+        if weight:
+            done.append(rest)
+        open_rows = still_open(reduce(DataFrame.unionAll, done))
+
     # The pairs of buckets whose members are in several components still.
-    in_blocks = open_rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    small = open_rows.where(F.col("n") <= BLOCK).select("key", "rep", "short", "component", F.struct(F.lit(0).alias("block"), F.lit(0).alias("other")).alias("piece"))
+    large = open_rows.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A bucket of several blocks: each row goes to the pairs of its own block and every other one.
-    grid = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("piece", F.struct(F.least("block", "other"), F.greatest("block", "other")))
-    cells = grid.join(bounds.withColumnRenamed("doc", "rep"), "rep").select("key", F.xxhash64("key", "piece").alias("piece"), "rep", "component", "n", "signature", "histogram")
+    other = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grid = small.unionAll(other.select("key", "rep", "short", "component", F.struct(F.least("block", "other").alias("block"), F.greatest("block", "other").alias("other")).alias("piece")))
+    cells = grid.join(bounds.withColumnRenamed("doc", "rep"), "rep").select("key", F.xxhash64("key", "piece").alias("piece"), "rep", "short", "component", "n", "signature", "histogram")
 
     def enumerate_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "rep", "component", "n", "signature", "histogram")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "rep", "short", "component", "n", "signature", "histogram")), strict=True):
                 if held and row[:2] != held[0][:2]:
                     found |= open_pairs(held, percent, symbols, chunks)
                     held = []
@@ -269,6 +328,65 @@ def _judged(rows: DataFrame, plain: bool, shingle: int, percent: int) -> DataFra
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc") == F.col("component")).alias("kept"), "doc")
 
 
+def _weight(rows: DataFrame) -> int:
+    """How many pairs the members of open buckets make, of each that is short with all."""
+    return rows.where("short").agg(F.sum("n")).first()[0] or 0
+
+
+def _prefixes(held: DataFrame) -> DataFrame:
+    """key, rep, short: of large buckets, smaller ones, such that any two similar members that are not in one component yet share one
+    in which one of them is short.
+
+    held has key, rep, elements (its full set, or what either that or the set of the bucket's centre has alone), and how many elements a
+    similar member may lack of these: long for any such member, short for one of whose elements there are as many or more.  Two
+    differences from a centre differ in just the elements in which the full sets differ.  If two members have elements in common, then in any order of
+    the elements the first in common is among the first short + 1 of the one with fewer, and the first long + 1 of the other.  Similar
+    full sets always have some; differences have some unless both sets are similar to the centre, and so in its component.
+    Elements that more than BLOCK members of a bucket have come last, the most frequent ones at the end.
+    """
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements = [np.frombuffer(x, dtype=np.int64) for x in batch.column("elements").to_pylist()]
+            key = np.repeat(np.asarray(batch.column("key")), [len(x) for x in elements])
+            yield pa.RecordBatch.from_arrays([pa.array(key, _LONG), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *elements]), _LONG)], ["key", "element"])
+
+    # One row for every BLOCK elements at most.
+    counts: dict[int, dict[int, int]] = {}
+    for row in held.select("key", "elements").mapInArrow(single, "key long, element long").groupBy("key", "element").count().where(F.col("count") > BLOCK).collect():
+        counts.setdefault(row["key"], {})[row["element"]] = row["count"]
+    frequent = {key: tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(of.items()), strict=True)) for key, of in counts.items()}
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen, is_short = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=bool)]
+            for key, elements, short, long in zip(*(batch.column(c).to_pylist() for c in ("key", "elements", "short", "long")), strict=True):
+                elements = np.sort(np.frombuffer(elements, dtype=np.int64))
+                if key in frequent:
+                    names, count = frequent[key]
+                    at = np.minimum(np.searchsorted(names, elements), len(names) - 1)
+                    elements = elements[np.argsort(np.where(names[at] == elements, count[at], 0), kind="stable")]
+                chosen.append(elements[: max(short, long) + 1])
+                is_short.append(np.arange(len(chosen[-1])) <= short)
+            times = list(map(len, chosen[1:]))
+            columns = [pa.array(np.repeat(np.asarray(batch.column(c)), times), _LONG) for c in ("key", "rep")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(chosen), _LONG), pa.array(np.concatenate(is_short))], ["key", "rep", "element", "short"])
+
+    rows = written(held.select("key", "rep", "elements", "short", "long").mapInArrow(first, "key long, rep long, element long, short boolean").select(F.xxhash64("key", "element").alias("key"), "rep", "short"), "prefixes")
+    # Most elements are of one member only.
+    return rows.join(written(rows.groupBy("key").count().where("count > 1").select("key"), "prefix-keys"), "key")
+
+
+def _most_central(held: pa.Table) -> pa.Table:
+    """Of members of a bucket, the one that differs least from the set of what more than half of them have."""
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in held.column("shingles").to_pylist()]
+    names, count = np.unique(np.concatenate(sets), return_counts=True)
+    usual = names[2 * count > len(sets)]
+    rep = held.column("rep").to_pylist()
+    least = min(range(len(sets)), key=lambda i: (len(sets[i]) - 2 * int(np.isin(sets[i], usual, assume_unique=True).sum()), rep[i]))
+    return held.slice(least, 1).select(["key", "rep", "component", "shingles"]).rename_columns(["key", "b", "of_b", "y"])
+
+
 def _may_be_near(n_a, n_b, signature_a, signature_b, histogram_a, histogram_b, percent: int, chunks: int) -> np.ndarray:
     """Of each pair, whether its sizes, signatures and counts of hashes allow it to be similar enough.  All arguments have a row for
     each pair, or one for all."""
@@ -280,9 +398,9 @@ def _may_be_near(n_a, n_b, signature_a, signature_b, histogram_a, histogram_b, p
 
 
 def open_pairs(held: list[tuple], percent: int, symbols: int, chunks: int) -> set[tuple[int, int]]:
-    """Pairs (greater, less) of a bucket's rows in different components that no exact bound rules out."""
-    _, _, rep, component, n, signature, histogram = zip(*held, strict=True)
-    rep, component, n = np.array(rep), np.array(component), np.array(n)
+    """Pairs (greater, less) of a bucket's rows in different components, one of them short, that no exact bound rules out."""
+    _, _, rep, short, component, n, signature, histogram = zip(*held, strict=True)
+    rep, short, component, n = np.array(rep), np.array(short), np.array(component), np.array(n)
     signature = np.frombuffer(b"".join(signature), dtype=np.uint16).reshape(-1, symbols)
     histogram = np.frombuffer(b"".join(histogram), dtype=np.uint8).reshape(-1, 256)
     names, sizes = np.unique(component, return_counts=True)
@@ -290,7 +408,7 @@ def open_pairs(held: list[tuple], percent: int, symbols: int, chunks: int) -> se
     outside = np.flatnonzero(component != names[sizes.argmax()])
     found: set[tuple[int, int]] = set()
     for i in outside.tolist():
-        j = np.flatnonzero((component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        j = np.flatnonzero((component != component[i]) & (short | short[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
         j = j[_may_be_near(n[j], n[i], signature[j], signature[i : i + 1], histogram[j], histogram[i : i + 1], percent, chunks)]
         found.update((max(a, b), min(a, b)) for a, b in ((int(rep[i]), int(rep[k])) for k in j))
     return found

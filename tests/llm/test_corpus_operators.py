@@ -138,6 +138,24 @@ def test_large_buckets_are_split(spark, monkeypatch):
     test_near_duplicates(spark, ((5, 80),))
 
 
+def test_large_buckets_cost_no_square(spark, monkeypatch):
+    draw = random.Random(3)
+    passage, base = prose(draw, 40, 9_000), prose(draw, 80, 9_000).split()
+    docs = [(i, f"{passage} {prose(draw, 40, 9_000)}") for i in range(120)]  # nothing is alike but the passage
+    docs += [(120 + i, f"{docs[i][1]} end") for i in range(5)]
+    for i in range(120):  # some are like the base text, some like each other only, some like none
+        w = list(base)
+        for at in draw.sample(range(80), draw.randint(0, 4)):
+            w[at] = f"e{i}x{at}"
+        docs.append((200 + i, " ".join(w)))
+    opened, write = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: (out := write(df, name), name == "open" and opened.append(out))[0])
+    out = near_dedup.near_duplicates(spark.createDataFrame(docs, DOCS), 4, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out.collect()} == brute_near(docs, 4, 80)
+    assert sum(-(-r["n"] // 16) for r in opened[-1].collect() if r["n"] > 16) < len(docs)  # rows that blocks of large buckets take
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = with_clashes(spark.createDataFrame([], DOCS))
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.deduplicated(empty).columns == empty.columns
